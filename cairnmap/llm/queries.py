@@ -27,21 +27,58 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digest(superkmer.dedup_windows(documents(spark, sf_dir)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(documents(spark, sf_dir), words=3, percent=90)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("spans")
+
+
 def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pfp
 
     return pfp.digest(pfp.dedup_bytes(documents(spark, sf_dir)))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linkgraph
+
+    return linkgraph.digest(linkgraph.judge(documents(spark, sf_dir, "pages")))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_window_dedup": op3_window_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_byte_dedup": op8_byte_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_pack": op10_pack,
 }
 
 
 def oracles() -> dict[str, str]:
-    from . import decontam, secrets, superkmer
+    from . import decontam, jaccard, linkgraph, secrets, superkmer
 
-    return {"op1_secret_scan": secrets.oracle(), "op2_decontaminate": decontam.ORACLE, "op3_window_dedup": superkmer.ORACLE}
+    return {"op1_secret_scan": secrets.oracle(), "op2_decontaminate": decontam.ORACLE, "op3_window_dedup": superkmer.ORACLE, "op4_jaccard_join": jaccard.ORACLE, "op9_url_filter": linkgraph.oracle()}
