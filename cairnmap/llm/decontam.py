@@ -217,6 +217,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return join.mapInPandas(finish, f"doc_id long, {_OUT}")
 
 
+def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the contaminated spans; documents of which at least ``coverage`` of the words is contaminated go.
+
+    Rows with null ids keep their texts.
+    """
+    found = decontaminate(docs.where(F.col(id_col).isNotNull()), items, id_col, text_col, **options).where(F.size("spans") > 0)
+    n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    change = found.select(F.col("doc_id").alias("_id"), (n_hit >= F.col("n_words") * coverage).alias("_drop"), F.col("clean").alias("_clean")).dropDuplicates(["_id"])
+    out = docs.join(change, docs[id_col].cast("long") == F.col("_id"), "left").where(~F.coalesce("_drop", F.lit(False)))
+    return out.withColumn(text_col, F.when(F.col("_id").isNotNull(), F.col("_clean")).otherwise(F.col(text_col))).drop("_id", "_drop", "_clean")
+
+
 def list_blocks(blocks: Iterator[list]) -> list[list]:
     out = [b for b in blocks]
     return [b for b in out if b] or [[]]

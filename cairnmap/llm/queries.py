@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("spans")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hnsw
+
+    return hnsw.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pfp
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_byte_dedup": op8_byte_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pack": op10_pack,

@@ -279,6 +279,43 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_threshold:
     return id_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score stays below the threshold; no shuffle."""
+    spark = docs.sparkSession
+    tune(spark)
+    shared = spark.sparkContext.broadcast(model)  # weights of the bounded sample's features
+
+    def run(batches):
+        import pyarrow as pa
+
+        m: Model = shared.value
+        held, waiting = 0, []
+
+        def flush():
+            words = [w for _, ws in waiting for w in ws]
+            out: list[np.ndarray] = [np.zeros(0)] * len(words)
+            for group, x, length in padded(words):
+                p = 1 / (1 + np.exp(-odds(x, length, m.trans)))
+                for k, i in enumerate(group):
+                    out[i] = p[: length[k], k].copy()
+            fine, at = m.score(out) < threshold, 0
+            for batch, ws in waiting:
+                yield batch.filter(pa.array(fine[at : at + len(ws)]))
+                at += len(ws)
+
+        for batch in batches:
+            ws = [m.emissions(tokens(t or "")) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            waiting.append((batch, ws))
+            held += sum(map(len, ws))
+            if held > 1_500_000:
+                yield from flush()
+                held, waiting = 0, []
+        if waiting:
+            yield from flush()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = 1500, id_col: str = "doc_id") -> Model:
     """Fit to at most ``rows`` labelled texts of each class outside the held-out fold."""
     return fit(labelled(docs, labels, label, remainder("_id", folds) != held_out, rows, id_col))
