@@ -1,0 +1 @@
+"""Incremental forms: votes of runs that arrive one after another."""
