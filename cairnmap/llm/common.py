@@ -108,18 +108,34 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    within = np.arange(len(buf), dtype=np.int64)
-    first = np.zeros(len(buf), np.int64)
-    first[starts] = starts
-    np.maximum.accumulate(first, out=first)
-    within -= first
     top = int((ends - starts).max()) + 2
     power = np.cumprod(np.full(top, MUL, np.uint64))
-    np.minimum(within, top - 1, out=within)
-    h = np.add.reduceat(WORD_VALUES[buf] * power[within], starts)
+    h = np.empty(len(starts), np.uint64)
+    step = 1 << 17
+    for lo in range(0, len(starts), step):  # by blocks of words: the arrays over bytes stay small
+        s, e = starts[lo : lo + step], ends[lo : lo + step]
+        a = int(s[0])
+        gap = np.append(s[1:], e[-1]) - s  # to the next word, separators included; these count as nothing
+        within = np.arange(int(e[-1]) - a, dtype=np.int32) - np.repeat((s - a).astype(np.int32), gap)
+        np.minimum(within, top - 1, out=within)
+        values = power[within]
+        values *= WORD_VALUES[buf[a : int(e[-1])]]
+        h[lo : lo + step] = np.add.reduceat(values, s - a)
     return starts, ends, mix(h)
 
 
+def trim() -> None:
+    """Gives freed memory back at the end of a task, for the worker stays and others run beside it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back
+
+
 def runs(flag: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of set flags within one key (keys lie together)."""
     at = np.flatnonzero(flag)

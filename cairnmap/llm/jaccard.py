@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, id_text, mix, partitions, tune, window_hash, word_bounds
+from .common import checkpoint, components, id_text, mix, partitions, trim, tune, window_hash, word_bounds
 
 BLOCK = "bucket int, payload binary"
 
@@ -145,11 +146,10 @@ def _counter(shape: Shape):
     """doc_id, number of shingles, and a digest of the normal text by which copies are known."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import blake2b
-
         for ids, texts in _chunks(batches):
             n = [len(shingle_hashes(h, shape.words)) for h in _word_hashes(texts)]
             yield pd.DataFrame({"doc_id": pd.array([None if d != d else d for d in ids], "Int64"), "n_shingles": n, "copy": [blake2b(t, digest_size=16).digest() if t else None for t in texts]})
+        trim()
 
     return run
 
@@ -182,11 +182,14 @@ def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
         ids: list[np.ndarray] = []
         ks: list[np.ndarray] = []
         held = 0
-        for docs, texts in _chunks(batches, 16 << 20):
+        sent: dict[bytes, int] = {}
+        for docs, texts in _chunks(batches):
             first: dict[bytes, int] = {}
             for d, t in zip(docs, texts, strict=True):
                 if t and (t not in first or d < first[t]):
                     first[t] = d
+            # A copy of a text sent earlier in the task by a smaller id is known by its digest and need not be sent again.
+            first = {t: d for t, d in first.items() if sent.setdefault(blake2b(t, digest_size=16).digest(), d) >= d}
             for (_, d), h in zip(first.items(), _word_hashes(list(first)) if first else [], strict=True):
                 s = shingle_hashes(h, shape.words)
                 n = len(s)
@@ -202,6 +205,7 @@ def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
                 ids, ks, held = [], [], 0
         if held:
             yield blocks(ids, ks)
+        trim()
 
     return run
 
@@ -256,6 +260,7 @@ def _meeter(small: int):
                 payloads.append(p)
         if payloads:
             yield groups(payloads)
+        trim()
 
     return run
 
@@ -285,6 +290,7 @@ def _verifier(shape: Shape):
                     a.append(c)
                     b.append(d)
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        trim()
 
     return run
 
@@ -393,24 +399,25 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     known = counted.where("doc_id is not null and copy is not null")
     copies = known.join(known.groupBy("copy").agg(F.min("doc_id").alias("low")), "copy").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     met = base.where("doc_id is not null").mapInPandas(_sender(shape, spread * n), BLOCK).repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_meeter(small), "a long, b long, g long")
-    met = checkpoint(met.distinct())
+    # A copy stands for the smallest of its texts, so that equal texts are verified once.
     low = copies.select("a", F.col("b").alias("low"))
+    met = met.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b", "g").join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("b"), "g")
+    met = checkpoint(met.where("g is not null or a <> b").select(F.when(F.col("g").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("g").isNull(), F.greatest("a", "b")).alias("b"), "g").distinct())
     pairs = met.where("g is null").select("a", "b")
-    # A copy stands for the smallest of its texts, so that equal texts are verified once.
-    pairs = pairs.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b").join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("b"))
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = checkpoint(verified(pairs, base, shape).unionByName(copies))
+    # Only texts of documents that met others move again.
+    need = met.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_need")
+    texts = checkpoint(base.join(need, F.col("doc_id") == F.col("_need"), "left_semi"))
+    links = checkpoint(verified(pairs, texts, shape).unionByName(copies))
     comp = components(links)
     # Larger groups that still span components.
-    member = met.where("b is null").select("g", "a").join(low, "a", "left").select("g", F.coalesce("low", "a").alias("a")).distinct()
-    member = member.join(comp, F.col("a") == F.col("id"), "left").select("g", "a", F.coalesce("component", "a").alias("c"))
+    member = met.where("g is not null").select("g", "a").join(comp, F.col("a") == F.col("id"), "left").select("g", "a", F.coalesce("component", "a").alias("c"))
     open_groups = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     rest = checkpoint(member.join(open_groups, "g", "left_semi"))
     if not rest.isEmpty():
-        need = rest.select(F.col("a").alias("_need")).distinct()
-        bits = base.where("doc_id is not null").join(need, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary")
+        wide = rest.select(F.col("a").alias("_need")).distinct()
+        bits = texts.join(wide, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary")
         more = rest.join(bits.dropDuplicates(["_id"]), F.col("a") == F.col("_id")).select("g", "a", "n", "c", "bits").repartition(n, "g").sortWithinPartitions("g", "a").mapInPandas(_pruner(shape), "a long, b long").distinct()
-        more = checkpoint(verified(checkpoint(more), base, shape))
+        more = checkpoint(verified(checkpoint(more), texts, shape))
         comp = components(links.unionByName(more))
     return counted.join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
