@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, trim
 
 BLOCK = "bucket int, payload binary"
 RANGES = "doc_id long, s array<int>, e array<int>"
@@ -73,7 +73,7 @@ class Outbox:
             at = np.flatnonzero(gap)
             settled = np.column_stack((settled[at, 0], settled[at, 1], np.maximum.reduceat(settled[:, 2], at)))
         share = {b: settled[i :: max(1, len(by))] for i, b in enumerate(by)}
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=4)
         for bucket, rows in by.items():
             rest = share[bucket]
             blob = b"".join(r[0] for r in rows)
@@ -173,6 +173,7 @@ def removed(docs: DataFrame, send: Callable, settle: Callable[[list[bytes]], tup
                 payloads.append(p)
         if payloads:
             yield as_rows(*settle(payloads))
+        trim()
 
     n = partitions(docs.sparkSession)
     blocks = docs.where("doc_id is not null").mapInPandas(send, BLOCK)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import buckets
-from .common import BYTE_VALUES, id_text, mix, partitions, runs, sliding_min, tune, window_hash
+from .common import BYTE_VALUES, id_text, mix, partitions, runs, sliding_min, trim, tune, window_hash
 
 
 def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
@@ -74,6 +74,7 @@ def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
                         yield pd.DataFrame(list(box.blocks()), columns=["bucket", "payload"])
         phrases(texts, ids, box)
         yield pd.DataFrame(list(box.blocks()), columns=["bucket", "payload"])
+        trim()
 
     return send
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import buckets
-from .common import id_text, mix, partitions, runs, sliding_min, tune, window_hash, word_bounds
+from .common import id_text, mix, partitions, runs, sliding_min, trim, tune, window_hash, word_bounds
 
 
 def _sender(window: int, m: int, n_buckets: int, chunk: int = 4 << 20):
@@ -66,6 +66,7 @@ def _sender(window: int, m: int, n_buckets: int, chunk: int = 4 << 20):
                         yield pd.DataFrame(list(box.blocks()), columns=["bucket", "payload"])
         super_kmers(texts, ids, box)
         yield pd.DataFrame(list(box.blocks()), columns=["bucket", "payload"])
+        trim()
 
     return send
 
