@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnmap.functions import arrays, bands
 from cairnmap.operators import boosting, focal, glcm, lookup, metrics, sampling, selection, votes
+from cairnmap.sources import geotiff, tables
 
 from . import views
 from .views import sql
@@ -328,6 +329,33 @@ def projection(spark, d):
     return views.wide(views.samples(spark, d), 6).select("id", "y", "x0", "x5")
 
 
+# Sources and sinks
+
+@query("S4_S5_K1_K2_K3_geotiff", sql("select 'v' as band, row, col, v from v_raster", "v_raster"))
+def tiff(spark, d):
+    cells = views.raster(spark, d).select(F.lit("v").alias("band"), "row", "col", "v")
+    return geotiff.decoded(geotiff.encoded(cells, geotiff.Georeference(10, 45, 0.5, -0.5), "Float64"))
+
+
+@query("K6_K7_report_ids", sql("select row_number() over (order by metric desc, iter) as id, iter, metric from v_series", "v_series"))
+def report_ids(spark, d):
+    s = views.series(spark, d).withColumn("down", -F.col("metric"))
+    return tables.with_row_id(s, ["down", "iter"]).select(F.col("ID").cast("long").alias("id"), "iter", "metric")
+
+
+@query("K8_ragged", sql("select i::integer as pos, case when i < 2 then 'x' || i end as run1, 'x' || (i * 2) as run2 from range(0, 4) t(i)"))
+def ragged(spark, d):
+    runs = spark.createDataFrame([(1, ["x0", "x1"]), (2, ["x0", "x2", "x4", "x6"])], "run int, features array<string>")
+    return tables.ragged(runs).select("pos", F.col("1").alias("run1"), F.col("2").alias("run2"))
+
+
+@query("S6_raster_bounds", sql("select 'v' as band, max(row)::integer + 1 as n_rows, max(col)::integer + 1 as n_cols, 45.0::double as top, 10.0::double as left_x, 10 + (max(col) + 1) * 0.5::double as right_x, 45 - (max(row) + 1) * 0.5::double as bottom from v_raster", "v_raster"))
+def bounds(spark, d):
+    cells = views.raster(spark, d).select(F.lit("v").alias("band"), "row", "col", "v")
+    m = geotiff.described(geotiff.encoded(cells, geotiff.Georeference(10, 45, 0.5, -0.5)))
+    return m.select("band", "n_rows", "n_cols", "top", F.col("left").alias("left_x"), F.col("right").alias("right_x"), "bottom")
+
+
 # Metrics
 
 @query("A1_histogram", sql("select k::integer as class_id, count(y)::bigint as n from range(0, 10) t(k) left join v_pred on y = k group by k", "v_pred"))

@@ -172,6 +172,12 @@ def read(spark: SparkSession, paths: list[str] | str, columns: list[str] | None
     if columns is not None:
         files = files.where(stem.isin(columns))
 
+    return decoded(files.select(stem.alias("band"), "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """band, row, col, v of rasters given as (band, content)."""
+
     def cells(batches):
         for pdf in batches:
             for band, raw in zip(pdf["band"], pdf["content"], strict=True):
@@ -181,11 +187,17 @@ def read(spark: SparkSession, paths: list[str] | str, columns: list[str] | None
                     r, c = np.indices(part.shape)
                     yield pd.DataFrame({"band": band, "row": r.ravel() + lo, "col": c.ravel(), "v": part.ravel()})
 
-    return files.select(stem.alias("band"), "content").mapInPandas(cells, "band string, row long, col int, v double")
+    return files.mapInPandas(cells, "band string, row long, col int, v double")
 
 
 def metadata(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """band, n_rows, n_cols, top, left, right, bottom, nodata of each file."""
+    files = spark.read.format("binaryFile").load(paths)
+    return described(files.select(F.regexp_extract("path", r"([^/]+)\.tiff?$", 1).alias("band"), "content"))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """metadata() of rasters given as (band, content)."""
 
     def one(batches):
         for pdf in batches:
@@ -195,8 +207,7 @@ def metadata(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                 rows.append((band, a.shape[0], a.shape[1], *geo.bounds(*a.shape[:2]), math.nan if nodata is None else nodata))
             yield pd.DataFrame(rows, columns=["band", "n_rows", "n_cols", "top", "left", "right", "bottom", "nodata"])
 
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.tiff?$", 1).alias("band"), "content").mapInPandas(one, "band string, n_rows int, n_cols int, top double, left double, right double, bottom double, nodata double")
+    return files.mapInPandas(one, "band string, n_rows int, n_cols int, top double, left double, right double, bottom double, nodata double")
 
 
 def encoded(cells: DataFrame, geo: Georeference | None = None, dtype: str | int = "Float32", fill: float = 0.0) -> DataFrame:
