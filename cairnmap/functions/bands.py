@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-4
-#: Band triples that colour channels are made of.
-TRIPLES = [(4, 3, 2), (5, 4, 3), (6, 5, 4), (7, 6, 5), (7, 5, 3), (7, 4, 2), (6, 5, 2), (5, 6, 4)]
+# The band triples that colour channels are made of.
+TRIPLES = [(4, 3, 2), (5, 4, 3), (6, 5, 2), (5, 6, 2), (7, 5, 3), (7, 5, 4), (6, 5, 4), (5, 7, 1)]
 
 
 def nan_to(c: Column, default: float = 0.0) -> Column:

@@ -142,48 +142,64 @@ def split_scores(samples: DataFrame, feats: list[int], params: boosting.Params)
     return {r["pos"]: r["n"] for r in samples.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "pos int, n long").collect()}
 
 
-def floating_selection(samples: DataFrame, names: list[str], params: boosting.Params, max_iterations: int = 360, max_backtracks: int = 70, every: int = 5, patience: int = 25, k: int = 5, metric: str = "kappa", seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def floating_selection(samples: DataFrame, names: list[str], params: boosting.Params, max_iterations: int = 360, max_backtracks: int = 70, every: int = 5, patience: int = 25, k: int = 10, metric: str = "kappa", mode: str = "reference", seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(series: iter, metric; sets: iter, var) of revised floating selection.
 
-    Each iteration adds the best candidate. Every ``every`` iterations the feature that
-    splits least goes; then features are dropped one at a time while that does not lower
-    the metric, and the most telling one is tried against replacements. The loop is the
-    driver's; what each step compares is one distributed sweep.
+    A forward iteration adds the best candidate and records value and set; each
+    ``every``-th then loses the feature that splits least. After that the least
+    significant feature is dropped as long as the value does not fall, one step a turn;
+    when no drop helps, the most significant one is tried against all others and replaced
+    on gain. It ends after so many iterations or backtracks, or when at a multiple of
+    ``patience`` the best iteration is the same as at the last one.
+
+    mode "reference": after a replacement the value compared with stays that of the
+    unreplaced set, and the stop test runs on backtracking turns too. mode "strict": the
+    value is the new set's, and only forward turns test. The last feature is never
+    dropped. The loop is the driver's; what a step compares is one distributed sweep.
     """
-    n = len(names)
+    strict = mode == "strict"
+    everything = list(range(len(names)))
     chosen: list[int] = []
-    trace: list[tuple[int, float, list[int]]] = []
-    backtracks, it = 0, 0
-    while it < max_iterations and backtracks < max_backtracks:
-        if it and it % patience == 0:
-            e = [t[1] for t in trace]
-            if int(np.argmax(e)) < it - patience:
+    values: list[float] = []
+    sets: list[list[int]] = []
+    best_at, backtracks, going_back, value = -1, 0, False, 0.0
+
+    def tried(base: list[int], candidates: list[int], forward: bool) -> list[tuple[int, float]]:
+        got = {r["pos"]: r["e"] for r in sweep(samples, base, candidates, params, forward, k, metric, seed).collect()}  # one number a candidate
+        return [(c, got[c]) for c in candidates]
+
+    while len(values) < max_iterations and backtracks < max_backtracks:
+        if len(values) % patience == 0 and not (strict and going_back):
+            top = int(np.argmax(values)) if values else 0
+            if top == best_at:
                 break
-        rest = [i for i in range(n) if i not in chosen]
-        if not rest:
-            break
-        best = best_candidate(sweep(samples, chosen, rest, params, True, k, metric, seed)).first()
-        chosen.append(best["pos"])
-        value = best["e"]
-        it += 1
-        if it % every == 0 and len(chosen) > 2:
-            scores = split_scores(samples, chosen, params)
-            chosen.remove(min(chosen, key=lambda f: (scores.get(f, 0), chosen.index(f))))
-            back = best_candidate(sweep(samples, chosen, list(chosen), params, False, k, metric, seed)).first() if len(chosen) > 2 else None
-            while back is not None and back["e"] >= value and len(chosen) > 2 and backtracks < max_backtracks:
-                chosen.remove(back["pos"])
-                value = back["e"]
-                backtracks += 1
-                back = best_candidate(sweep(samples, chosen, list(chosen), params, False, k, metric, seed)).first() if len(chosen) > 2 else None
-            lead = max(chosen, key=lambda f: (scores.get(f, 0), -chosen.index(f)))
-            fewer = [f for f in chosen if f != lead]
-            other = [i for i in range(n) if i not in chosen]
-            if fewer and other:
-                swap = best_candidate(sweep(samples, fewer, other, params, True, k, metric, seed)).first()
-                if swap["e"] > value:
-                    chosen, value = [*fewer, swap["pos"]], swap["e"]
-        trace.append((it, float(value), list(chosen)))
+            best_at = top
+        if not going_back:
+            rest = [f for f in everything if f not in chosen]
+            if not rest:
+                break
+            added, value = max(tried(chosen, rest, True), key=lambda t: t[1])
+            chosen.append(added)
+            values.append(value)
+            sets.append(list(chosen))
+            if len(values) % every == every - 1 and len(chosen) > 1:
+                splits = split_scores(samples, chosen, params)
+                chosen.remove(min(chosen, key=lambda f: (splits.get(f, 0), chosen.index(f))))
+        drops = tried(chosen, list(chosen), False) if len(chosen) > 1 else []
+        going_back = bool(drops) and max(e for _, e in drops) >= value
+        if going_back:
+            least, value = max(drops, key=lambda t: t[1])
+            chosen.remove(least)
+            backtracks += 1
+            continue
+        lead = min(drops, key=lambda t: t[1])[0] if drops else chosen[0]
+        others = [f for f in chosen if f != lead]
+        swap, gained = max(tried(others, [f for f in everything if f not in others], True), key=lambda t: t[1])
+        if gained > value:
+            chosen = [*others, swap]
+            backtracks += 1
+            if strict:
+                value = gained
     spark = samples.sparkSession
-    series = spark.createDataFrame([(i, e) for i, e, _ in trace], "iter int, metric double")
-    sets = spark.createDataFrame([(i, names[f]) for i, _, fs in trace for f in fs], "iter int, var string")
-    return series, sets
+    series = spark.createDataFrame([(i + 1, float(e)) for i, e in enumerate(values)], "iter int, metric double")
+    return series, spark.createDataFrame([(i + 1, names[f]) for i, fs in enumerate(sets) for f in fs], "iter int, var string")

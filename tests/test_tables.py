@@ -188,3 +188,15 @@ def test_final_set(spark):
     assert [r["iter"] for r in selection.strong_maxima(s).orderBy("iter").collect()] == [2, 4]
     sets = spark.createDataFrame([(2, "a"), (4, "a"), (4, "b"), (5, "c")], "iter int, var string")
     assert sorted(r["var"] for r in selection.final_set(sets, s).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("mode", ["reference", "strict"])
+def test_floating_selection_finds_the_telling_features(spark, mode):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 4))
+    y = (x[:, 1] + x[:, 3] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), r.tolist()) for i, r in enumerate(x)], "id long, y int, x array<double>")
+    p = boosting.Params(objective="softmax", n_classes=2, depth=2, rounds=8)
+    series, sets = selection.floating_selection(df, ["a", "b", "c", "d"], p, max_iterations=2, max_backtracks=3, k=3, mode=mode)
+    assert series.count() == 2
+    assert {r["var"] for r in sets.where("iter = 2").collect()} == {"b", "d"}
