@@ -73,43 +73,57 @@ class Outbox:
             at = np.flatnonzero(gap)
             settled = np.column_stack((settled[at, 0], settled[at, 1], np.maximum.reduceat(settled[:, 2], at)))
         share = {b: settled[i :: max(1, len(by))] for i, b in enumerate(by)}
-        packer = zstandard.ZstdCompressor(level=4)
+        packer = zstandard.ZstdCompressor(level=5)
         for bucket, rows in by.items():
             rest = share[bucket]
             blob = b"".join(r[0] for r in rows)
             head = struct.pack("<QQQ", len(rows), len(rest), len(blob))
-            cols = np.array([r[1] for r in rows], "<i8").tobytes() + np.array([r[2] for r in rows], "<i4").tobytes() + np.array([len(r[0]) for r in rows], "<i4").tobytes()
+            cols = _narrow([r[1] for r in rows], "<i8") + _narrow([r[2] for r in rows], "<i4") + _narrow([len(r[0]) for r in rows], "<i4")
             yield bucket, packer.compress(head + cols + rest.astype("<i8").tobytes() + blob)
         self.clear()
 
 
+def _narrow(values: list[int], kind: str) -> bytes:
+    """Differences, their bytes gathered by place: rows come in order of the texts, so most bytes are zero."""
+    d = np.diff(np.array(values, kind), prepend=np.zeros(1, kind)).astype(kind)
+    return np.ascontiguousarray(d.view(np.uint8).reshape(len(d), -1).T).tobytes()
+
+
+def _widen(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    d = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(d, dtype=kind)
+
+
 def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n, m, size = struct.unpack_from("<QQQ", raw)
     at = 24
-    doc = np.frombuffer(raw, "<i8", n, at)
-    start = np.frombuffer(raw, "<i4", n, at + 8 * n)
-    length = np.frombuffer(raw, "<i4", n, at + 12 * n)
+    doc, start, length = _widen(raw, "<i8", n, at), _widen(raw, "<i4", n, at + 8 * n), _widen(raw, "<i4", n, at + 12 * n)
     settled = np.frombuffer(raw, "<i8", 3 * m, at + 16 * n).reshape(-1, 3)
     return doc, start, length, settled, raw[len(raw) - size :]
 
 
-def in_corpus_order(payloads: list[bytes], sep: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by (document, start): doc, start, offset in the buffer, settled ranges, and the buffer of all strings."""
-    docs, starts, lengths, settled, views = [], [], [], [], []
+def entries(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of a bucket's blocks, in corpus order (document, start): doc, start, settled ranges, strings."""
+    docs, starts, settled, views = [], [], [], []
     for p in payloads:
         d, s, ln, rest, blob = _read(p)
         docs.append(d)
         starts.append(s)
-        lengths.append(ln)
         settled.append(rest)
         ends = np.cumsum(ln)
         views += [blob[e - n : e] for e, n in zip(ends.tolist(), ln.tolist(), strict=True)]
-    doc, start, length = np.concatenate(docs), np.concatenate(starts), np.concatenate(lengths)
+    doc, start = np.concatenate(docs), np.concatenate(starts)
     order = np.lexsort((start, doc))
-    buf = np.frombuffer(sep.join([views[i] for i in order.tolist()]), np.uint8)
-    length = length[order].astype(np.int64) + len(sep)
-    return doc[order], start[order], np.concatenate(([0], np.cumsum(length)[:-1])), np.concatenate(settled), buf
+    return doc[order], start[order], np.concatenate(settled), [views[i] for i in order.tolist()]
+
+
+def in_corpus_order(payloads: list[bytes], sep: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """entries() with the strings in one buffer: doc, start, offset in the buffer, settled ranges, buffer."""
+    doc, start, settled, strings = entries(payloads)
+    length = np.array([len(x) + len(sep) for x in strings], np.int64)
+    return doc, start, np.concatenate(([0], np.cumsum(length)[:-1])), settled, np.frombuffer(sep.join(strings), np.uint8)
 
 
 def first_of_equals(h: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], key: Callable[[int], bytes]) -> np.ndarray:

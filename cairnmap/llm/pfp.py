@@ -1,14 +1,18 @@
 """Exact substring dedup over bytes by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases: a position is a trigger when its
-hash of ``gram`` bytes is the smallest among the grams of some ``length``-byte string, so
-each such string holds a trigger and equal strings hold it at the same place. A phrase,
-with the right context that the strings starting in it need, goes to the bucket of its
-trigger. There the distinct phrases are the dictionary and the places where they occur,
-in order of document and start, are the parse. The sorted strings of the dictionary,
-grouped where they agree in ``length`` bytes, are read together with the parse: that
-gives the suffixes of the corpus in order, down to that depth, and of each group the
-earliest place. Phrases that a task meets again are settled by the parse alone.
+Rolling-hash triggers cut every text into phrases: a gram of ``gram`` bytes is a trigger
+when its hash is the smallest in some ``length``-byte string, the leftmost on ties. So
+each such string holds its trigger at a place that its content alone decides. Cut at the
+triggers, a string is the end of a phrase before its trigger and the beginning of what
+the parse goes on with. Each trigger goes to a bucket with both: the phrase before it and
+the right context that strings starting in the phrase need.
+
+A bucket sorts the phrases, read from the trigger to the left, and the continuations,
+read to the right: these are the suffix arrays of dictionary and parse, with the lengths
+that neighbours have in common. At each distance of the trigger from a string's start,
+equal neighbours on both sides make the classes of equal strings, in corpus order; all
+but the first of a class are repeats. Nothing is hashed to decide that. Phrases that a
+task meets again with the same context are settled by the parse alone.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pyspark.sql import DataFrame
 from . import buckets
 from .common import BYTE_VALUES, id_text, mix, partitions, runs, sliding_min, trim, tune, window_hash
 
+#: Bits of a trigger's rank that hold its place in the buffer; the others are its hash.
+PLACE = 31
+
 
 def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
     def covered(start: int, size: int) -> tuple[int, int]:
@@ -36,7 +43,10 @@ def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
         size = np.array([len(t) for t in texts], np.int64)
         stop = np.cumsum(size)
         base = stop - size
-        low = sliding_min(mix(window_hash(BYTE_VALUES[buf], gram)), length - gram + 1)
+        place = np.uint64((1 << PLACE) - 1)
+        rank = mix(window_hash(BYTE_VALUES[buf], gram)) & ~place
+        rank |= np.arange(len(rank), dtype=np.uint64) & place
+        low = sliding_min(rank, length - gram + 1)
         n_starts = np.maximum(size - length + 1, 0)
         has = np.flatnonzero(n_starts)
         if not len(has):
@@ -50,11 +60,13 @@ def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
         head = np.flatnonzero(new)
         first = at[head]
         last = at[np.append(head[1:], len(at)) - 1]
-        # A run never spans two texts, unless a text ends where the next begins without a gap: length - 1 > 0 bytes lie between.
         doc = np.searchsorted(stop, first, side="right")
-        where = (low[first] % np.uint64(n_buckets)).astype(np.int64)
-        for a, b, k, st, bucket in zip(first.tolist(), (last + length).tolist(), doc.tolist(), (first - base[doc]).tolist(), where.tolist(), strict=True):
-            box.add(raw[a:b], ids[k], st, b - a, bucket)
+        where = ((low[first] >> np.uint64(PLACE)) % np.uint64(n_buckets)).astype(np.int64)
+        # The distance from the first start to the trigger goes in front, in two bytes.
+        to = ((low[first] - first.astype(np.uint64)) & place).tolist()
+        marks = [m.to_bytes(2, "big") for m in range(length)]
+        for a, b, k, st, bucket, t in zip(first.tolist(), (last + length).tolist(), doc.tolist(), (first - base[doc]).tolist(), where.tolist(), to, strict=True):
+            box.add(marks[t] + raw[a:b], ids[k], st, b - a, bucket)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         box = buckets.Outbox(n_buckets, False, covered)
@@ -79,43 +91,58 @@ def _sender(length: int, gram: int, n_buckets: int, chunk: int = 2 << 20):
     return send
 
 
-def _settler(length: int):
+def _sorted(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings and, for each in that order, how many bytes it shares with the one before."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    table = np.frombuffer(b"".join([strings[i].ljust(width, b"\0") for i in order]), np.uint8).reshape(-1, width)
+    size = np.array([len(strings[i]) for i in order])
+    common = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), 1 << 15):
+        hi = min(len(order), lo + (1 << 15))
+        unlike = table[lo:hi] != table[lo - 1 : hi - 1]
+        common[lo:hi] = np.where(unlike.any(1), unlike.argmax(1), width)
+    common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
+    return np.array(order, np.int64), common
+
+
+def _settler(length: int, gram: int):
     def settle(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc, start, offset, settled, buf = buckets.in_corpus_order(payloads, b"")
-        size = np.diff(np.append(offset, len(buf)))
-        n_starts = size - length + 1
-        entry = np.repeat(np.arange(len(doc)), n_starts)
-        within = np.arange(len(entry)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-        at = offset[entry] + within
-        h = window_hash(BYTE_VALUES[buf], length)[at]
-        words = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,)) if len(buf) >= 8 else None
-
-        def same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Whole comparison where a run begins; where both sides go on by one byte, of that byte."""
-            p, q = at[x], at[y]
-            on = np.zeros(len(x), bool)
-            on[1:] = (np.diff(x) == 1) & (np.diff(p) == 1) & (np.diff(q) == 1)
-            ok = buf[p + length - 1] == buf[q + length - 1]
-            fresh = np.flatnonzero(~on)
-            a, b = p[fresh], q[fresh]
-            good = np.ones(len(fresh), bool)
-            if words is not None and length >= 8:
-                for j in [*range(0, length - 7, 8), length - 8]:
-                    good &= words[a + j] == words[b + j]
-            else:
-                for j in range(length):
-                    good &= buf[a + j] == buf[b + j]
-            ok[fresh] = good
-            if not ok.all():  # what follows a difference in its run is compared whole
-                bad = np.flatnonzero(~ok)
-                run = np.cumsum(~on)
-                again = np.flatnonzero(np.isin(run, run[bad]))
-                ok[again] = [buf[i : i + length].tobytes() == buf[j : j + length].tobytes() for i, j in zip(p[again].tolist(), q[again].tolist(), strict=True)]
-            return ok
-
-        first = buckets.first_of_equals(h, same, lambda i: buf[at[i] : at[i] + length].tobytes())
-        dup = first != np.arange(len(first))
-        lo, hi = runs(dup, entry)
+        doc, start, settled, strings = buckets.entries(payloads)
+        far = np.array([int.from_bytes(s[:2], "big") for s in strings], np.int64)  # of the trigger from the first start
+        n_starts = np.array([len(s) for s in strings]) - 2 - length + 1
+        onward = [s[2 + t :] for s, t in zip(strings, far.tolist(), strict=True)]
+        order, common = _sorted(onward, length)
+        # A trigger that no other entry has begins no repeat.
+        twin = common >= gram
+        twin[:-1] |= twin[1:]
+        live = np.sort(order[twin])
+        if len(live):
+            number = np.full(len(strings), -1, np.int64)
+            number[live] = np.arange(len(live))
+            keep = twin.nonzero()[0]
+            # Dropped entries lie between groups of one trigger, so what is left has the same common lengths up to the gram.
+            right, right_common = number[order[keep]], np.where(np.diff(keep, prepend=-2) == 1, common[keep], 0)
+            left, left_common = _sorted([strings[i][2 : 2 + t][::-1] for i, t in zip(live.tolist(), far[live].tolist(), strict=True)], length)
+            top, least = far[live], far[live] - n_starts[live] + 1
+            repeat = np.zeros((len(live), length - gram + 1), bool)  # by the number of the start within the entry
+            a_class, b_class = np.empty(len(live), np.int64), np.empty(len(live), np.int64)
+            for a in range(length - gram + 1):
+                on = np.flatnonzero((least <= a) & (a <= top))
+                if len(on) < 2:
+                    continue
+                a_class[left] = np.cumsum(left_common < a)
+                b_class[right] = np.cumsum(right_common < length - a)
+                both = a_class[on] * (len(live) + 1) + b_class[on]
+                by = np.argsort(both, kind="stable")  # entries are in corpus order: the first of a class is the earliest
+                again = np.zeros(len(on), bool)
+                again[by[1:]] = both[by[1:]] == both[by[:-1]]
+                at = on[again]
+                repeat[at, top[at] - a] = True
+            entry = np.repeat(live, repeat.shape[1])
+            within = np.tile(np.arange(repeat.shape[1]), len(live))
+            lo, hi = runs(repeat.ravel(), entry)
+        else:
+            entry = within = lo = hi = np.empty(0, np.int64)
         s = start[entry[lo]] + within[lo]
         e = start[entry[hi]] + within[hi] + length
         return np.concatenate((doc[entry[lo]], settled[:, 0])), np.concatenate((s, settled[:, 1])), np.concatenate((e, settled[:, 2]))
@@ -157,7 +184,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tune(spark)
     base = id_text(docs, id_col, text_col)
-    ranges = buckets.removed(base, _sender(length, gram, spread * partitions(spark)), _settler(length))
+    ranges = buckets.removed(base, _sender(length, gram, spread * partitions(spark)), _settler(length, gram))
     return buckets.with_ranges(base, ranges).mapInPandas(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
 
