@@ -28,6 +28,9 @@ from .quality import labelled, logistic, remainder
 #: Bytes that belong to words: digits, ASCII letters (lower case after lower()), all beyond ASCII.
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
+#: Numbers that summary() gives for a document.
+N_SUMMARY = 4
+
 
 def tokens(text: str) -> list[str]:
     """Words in lower case, accents and case of other letters folded by str.lower()."""
@@ -89,7 +92,7 @@ class Model:
     weights: dict[str, float]
     bias: float = -4.0
     trans: np.ndarray = field(default_factory=lambda: np.array([[0.0, -1.0], [-0.5, 0.0]]))
-    calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(N_SUMMARY + 1))
     cache: dict[str, float] = field(default_factory=dict)
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -111,18 +114,18 @@ class Model:
         return out
 
     def document(self, marginals: list[np.ndarray]) -> np.ndarray:
-        return np.array([summary(p) for p in marginals]).reshape(-1, 3)
+        return np.array([summary(p) for p in marginals]).reshape(-1, N_SUMMARY)
 
     def score(self, marginals: list[np.ndarray]) -> np.ndarray:
         x = np.column_stack((self.document(marginals), np.ones(len(marginals))))
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration, -30, 30)))
 
 
-def summary(p: np.ndarray) -> tuple[float, float, float]:
-    """Expected number of toxic tokens, their density and the surest one, on log scales."""
+def summary(p: np.ndarray) -> tuple[float, ...]:
+    """Expected number of toxic tokens, their density, the number of sure ones and the surest one, on log scales."""
     s = float(p.sum())
     top = min(1 - 1e-4, float(p.max())) if len(p) else 1e-4
-    return np.log(s + 0.05), np.log((s + 0.05) / (len(p) + 20)), np.log(top + 1e-4) - np.log(1 - top + 1e-4)
+    return np.log(s + 0.05), np.log((s + 0.05) / (len(p) + 20)), np.log1p(float((p > 0.9).sum())), np.log(top + 1e-4) - np.log(1 - top + 1e-4)
 
 
 def fit(rows: list[tuple[str, int]], max_tokens: int = 800_000, max_length: int = 1500, epochs: int = 30, rounds: int = 2) -> Model:
@@ -145,7 +148,7 @@ def fit(rows: list[tuple[str, int]], max_tokens: int = 800_000, max_length: int
     y = np.array([k for _, k in docs], float)
     if not docs or y.min() == y.max():
         model = Model({})
-        model.calibration = np.array([0.0, 0.0, 0.0, 10.0 if docs and y.max() else -10.0])
+        model.calibration = np.array([0.0] * N_SUMMARY + [10.0 if docs and y.max() else -10.0])
         return model
     n_bad, n_good = y.sum(), (1 - y).sum()
     # Features by how many documents of each class they are in.
