@@ -68,44 +68,54 @@ def level_of(v: Column, thresholds: list[float]) -> Column:
 
 
 def measures(p: np.ndarray, mode: str = "reference") -> np.ndarray:
-    """The 13 measures of co-occurrence matrices p (N, G, G), each summing to one or empty."""
+    """The 13 measures of co-occurrence matrices p (N, G, G), each summing to one or empty.
+
+    A window fills few cells of its matrix: sums run over those; only the product of the
+    marginals is dense.
+    """
     n, g, _ = p.shape
     ref = mode == "reference"
-    i = np.arange(g, dtype=float)
+    levels = np.arange(g, dtype=float)
     px, py = p.sum(1), p.sum(2)  # of the column and of the row level
-    apart = np.abs(i[:, None] - i[None, :]).astype(int)
-    plus, minus = np.zeros((n, 2 * g - 1)), np.zeros((n, g))
-    for k in range(g):
-        plus[:, k : k + g] += p[:, k]
-    for k in range(g):
-        d = np.trace(p, k, 1, 2)
-        minus[:, k] = d + (np.trace(p, -k, 1, 2) if k or ref else 0)
+    at, i, j = np.nonzero(p)
+    v = p[at, i, j]
+    gap = np.abs(i - j)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.bincount(at, x, n)
+
+    plus = np.bincount(at * (2 * g - 1) + i + j, v, n * (2 * g - 1)).reshape(n, -1)
+    minus = np.bincount(at * g + gap, v, n * g).reshape(n, g)
+    if ref:
+        minus[:, 0] *= 2
     out = np.zeros((n, 13))
-    out[:, 0] = (p * p).sum((1, 2))
-    out[:, 1] = (minus * i**2).sum(1)
-    cross = np.einsum("nij,i,j->n", p, i, i)
+    out[:, 0] = total(v * v)
+    out[:, 1] = total(v * gap**2)
+    cross = total(v * i * j)
     if ref:
         mx, my, sx, sy = px.mean(1), py.mean(1), px.std(1), py.std(1)
-        mu = g * (px * i).sum(1)
+        mu = g * (px * levels).sum(1)
     else:
-        mx, my = (px * i).sum(1), (py * i).sum(1)
-        sx, sy = (np.sqrt(np.maximum((q * i**2).sum(1) - m * m, 0)) for q, m in ((px, mx), (py, my)))
+        mx, my = (px * levels).sum(1), (py * levels).sum(1)
+        sx, sy = (np.sqrt(np.maximum((q * levels**2).sum(1) - m * m, 0)) for q, m in ((px, mx), (py, my)))
         mu = mx
     with np.errstate(divide="ignore", invalid="ignore"):
         out[:, 2] = (cross - mx * my) / (sx * sy)
-    out[:, 3] = (px * (i[None, :] - mu[:, None]) ** 2).sum(1)
-    out[:, 4] = (p / (1 + apart**2)).sum((1, 2))
+    out[:, 3] = (px * (levels[None, :] - mu[:, None]) ** 2).sum(1)
+    out[:, 4] = total(v / (1 + gap**2))
     k = np.arange(2, 2 * g + 1, dtype=float)
     out[:, 5] = (plus * k).sum(1)
     out[:, 7] = -(plus * np.log(plus + EPS)).sum(1)
     centre = out[:, 7] if ref else out[:, 5]
     out[:, 6] = (plus * (k[None, :] - centre[:, None]) ** 2).sum(1)
-    out[:, 8] = -(p * np.log(p + EPS)).sum((1, 2))
+    out[:, 8] = -total(v * np.log(v + EPS))
     out[:, 9] = minus.var(1)
     out[:, 10] = -(minus * np.log(minus + EPS)).sum(1)
     hx, hy = -(px * np.log(px + EPS)).sum(1), -(py * np.log(py + EPS)).sum(1)
     outer = px[:, None, :] * py[:, :, None]
-    hxy1, hxy2 = -(p * np.log(outer + EPS)).sum((1, 2)), -(outer * np.log(outer + EPS)).sum((1, 2))
+    logs = np.log(outer + EPS)
+    hxy1 = -total(v * logs[at, i, j])
+    hxy2 = -np.einsum("nij,nij->n", outer, logs)
     with np.errstate(divide="ignore", invalid="ignore"):
         out[:, 11] = (out[:, 8] - hxy1) / np.maximum(hx, hy)
     out[:, 12] = np.sqrt(np.maximum(0, 1 - np.exp(-2 * (hxy2 - out[:, 8]))))
