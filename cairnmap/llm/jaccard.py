@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, id_text, mix, partitions, trim, tune, window_hash, word_bounds
 
 BLOCK = "bucket int, payload binary"
+SALTS = 32
 
 
 class Shape:
@@ -302,7 +303,9 @@ def verified(pairs: DataFrame, docs: DataFrame, shape: Shape, share: int = 64) -
     of its partners at the least, so that a hot centre spreads over tasks.
     """
     n = partitions(docs.sparkSession)
-    salted = pairs.withColumn("n", F.count(F.lit(1)).over(_by("a"))).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share)).cast("int").alias("salt"))
+    slot = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("a", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("slot"))
+    salted = pairs.withColumn("slot", slot).join(hot, ["a", "slot"], "left").select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.coalesce("n", F.lit(1)) / share)).cast("int").alias("salt"))
     wanted = salted.unionByName(salted.select("a", F.col("a").alias("b"), "salt").distinct())
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), "text")
     return (
@@ -310,12 +313,6 @@ def verified(pairs: DataFrame, docs: DataFrame, shape: Shape, share: int = 64) -
     )
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def _sketcher(shape: Shape):
     """Sketches of whole texts for each band a document may meet in: doc_id, band, its n and parity words."""
 
@@ -397,7 +394,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     base = id_text(docs, id_col, text_col)
     counted = checkpoint(base.mapInPandas(_counter(shape), "doc_id long, n_shingles long, copy binary"))
     known = counted.where("doc_id is not null and copy is not null")
-    copies = known.join(known.groupBy("copy").agg(F.min("doc_id").alias("low")), "copy").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    # Copied texts only, each dealt over salts: a text that a third of all rows copy does not meet in one task.
+    first = known.groupBy("copy").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("copy", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["copy", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     met = base.where("doc_id is not null").mapInPandas(_sender(shape, spread * n), BLOCK).repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_meeter(small), "a long, b long, g long")
     # A copy stands for the smallest of its texts, so that equal texts are verified once.
     low = copies.select("a", F.col("b").alias("low"))
