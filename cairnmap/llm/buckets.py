@@ -22,7 +22,7 @@ from .common import partitions, trim
 BLOCK = "bucket int, payload binary"
 RANGES = "doc_id long, s array<int>, e array<int>"
 #: Raw bytes that a map task holds before it sends its blocks.
-FLUSH = 40 << 20
+FLUSH = 80 << 20
 
 
 class Outbox:

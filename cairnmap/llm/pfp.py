@@ -172,7 +172,7 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 20, spread: int = 10) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 20, spread: int = 6) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (start and end of each removed run of bytes), kept_sha256.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a document of
