@@ -71,19 +71,34 @@ _GAUSS = ", ".join(f"({k}, {w!r})" for k, w in focal.gaussian_kernel(25, 3.5).it
 
 @query("W10_W13_disk_filter", sql(f"with k(dy, dx, w) as (values {_KERNEL}) select a.row, a.col, round(sum(b.v * w), 6) as v from v_patch a join k on true join v_raster b on b.row = a.row + dy and b.col = a.col + dx group by a.row, a.col", "v_patch"))
 def disk(spark, d):
-    return rounded(focal.disk_filter(views.raster(spark, d), 5)).where("row < 40 and col < 40")
+    return disk_whole(spark, d).where("row < 40 and col < 40")
+
+
+@query("W10_W13_disk_filter_whole")
+def disk_whole(spark, d):
+    return rounded(focal.disk_filter(views.raster(spark, d), 5))
 
 
 @query("W8_gaussian_filter", sql(f"""with k(o, w) as (values {_GAUSS}), a as (select x.row, x.col, sum(b.v * w) as v from v_raster x join k on true join v_raster b on b.row = x.row and b.col = x.col + o group by x.row, x.col)
 select p.row, p.col, round(sum(a.v * w), 6) as v from v_patch p join k on true join a on a.row = p.row + o and a.col = p.col group by p.row, p.col""", "v_patch"))
 def gauss(spark, d):
-    return rounded(focal.gaussian_filter(views.raster(spark, d))).where("row < 40 and col < 40")
+    return gauss_whole(spark, d).where("row < 40 and col < 40")
+
+
+@query("W8_gaussian_filter_whole")
+def gauss_whole(spark, d):
+    return rounded(focal.gaussian_filter(views.raster(spark, d)))
 
 
 @query("W7_median_filter", sql("""with o as (select i - 2 as dy, j - 2 as dx from range(0, 5) a(i), range(0, 5) b(j))
 select p.row, p.col, round(median(coalesce(b.v, 0)), 6) as v from v_patch p join o on true left join v_raster b on b.row = p.row + dy and b.col = p.col + dx group by p.row, p.col""", "v_patch"))
 def median(spark, d):
-    return rounded(focal.median_filter(views.raster(spark, d), 5)).where("row < 40 and col < 40")
+    return median_whole(spark, d).where("row < 40 and col < 40")
+
+
+@query("W7_median_filter_whole")
+def median_whole(spark, d):
+    return rounded(focal.median_filter(views.raster(spark, d), 5))
 
 
 @query("W11_smooth_long")
@@ -107,8 +122,13 @@ def resample(spark, d):
 @query("L23_P7_distance", sql("""with s as (select row, col from v_raster where v > 0.35)
 select r.row, r.col, round(0.2::double * min(sqrt((r.row - s.row) * (r.row - s.row) + (r.col - s.col) * (r.col - s.col))), 6) as dist from v_raster r join s on true where r.row < 40 group by r.row, r.col""", "v_raster"))
 def distance(spark, d):
+    return distance_whole(spark, d).where("row < 40")
+
+
+@query("L23_P7_distance_whole")
+def distance_whole(spark, d):
     r = views.raster(spark, d)
-    return rounded(focal.nearest_distance(r.withColumn("v", (F.col("v") > 0.35).cast("double")), 0.2)).where("row < 40")
+    return rounded(focal.nearest_distance(r.withColumn("v", (F.col("v") > 0.35).cast("double")), 0.2))
 
 
 @query("P7_water_masks", sql("select row, col, (v > 0)::integer as fresh, (not v > 0)::integer as sea from v_raster", "v_raster"))
@@ -151,15 +171,32 @@ def _small(spark, d):
     return views.patch(spark, d, 20, 20)  # a map extent: the relational form replicates pairs to every window
 
 
+def _by_tile(r: DataFrame) -> DataFrame:
+    return rounded(glcm.textures(r, THRESHOLDS).where("asm > 0").select("row", "col", "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
+
+
+def _by_joins(r: DataFrame) -> DataFrame:
+    return rounded(glcm.textures_relational(r, THRESHOLDS).select(F.col("row").cast("long"), F.col("col").cast("int"), "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
+
+
 @query("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures", sql(_TEXTURE, "v_raster"))
 def textures_tile(spark, d):
-    t = glcm.textures(_small(spark, d), THRESHOLDS)
-    return rounded(t.where("asm > 0").select("row", "col", "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
+    return _by_tile(_small(spark, d))
+
+
+@query("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures_whole")
+def textures_tile_whole(spark, d):
+    return _by_tile(views.raster(spark, d))
 
 
 @query("J11_textures_relational", sql(_TEXTURE, "v_raster"))
 def textures_join(spark, d):
-    return rounded(glcm.textures_relational(_small(spark, d), THRESHOLDS).select(F.col("row").cast("long"), F.col("col").cast("int"), "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
+    return _by_joins(_small(spark, d))
+
+
+@query("J11_textures_relational_whole")
+def textures_join_whole(spark, d):
+    return _by_joins(views.raster(spark, d))
 
 
 @query("G1_to_G13_textures_all")
@@ -255,7 +292,16 @@ def in_list(spark, d):
 
 @query("P4_P5_U2_U6_drop_ids", sql("select id, name from v_names where name = 'BUILDING' and id not in (select o_custkey from orders where o_orderkey < 2000)", "v_names"))
 def drop_ids(spark, d):
-    return lookup.drop_ids(views.names(spark, d).where("name = 'BUILDING'"), views.table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_custkey").cast("long").alias("id")))
+    return _without_orders(spark, d, views.table(spark, d, "orders").where("o_orderkey < 2000"))
+
+
+@query("P4_P5_U2_U6_drop_ids_whole")
+def drop_ids_whole(spark, d):
+    return _without_orders(spark, d, views.table(spark, d, "orders"))
+
+
+def _without_orders(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    return lookup.drop_ids(views.names(spark, d).where("name = 'BUILDING'"), orders.select(F.col("o_custkey").cast("long").alias("id")))
 
 
 @query("J4_T7_U1_hierarchy", sql("select upper, string_agg(lower::varchar, ',' order by pos) as lowers from v_hier group by upper", "v_hier"))
@@ -526,6 +572,11 @@ def correlation(spark, d):
     return rounded(selection.correlation_pairs(views.samples(spark, d, 16), 16))
 
 
+@query("A22_correlation_whole")
+def correlation_whole(spark, d):
+    return rounded(selection.correlation_pairs(views.samples(spark, d), 64))
+
+
 @query("A23_drop_redundant")
 def redundant(spark, d):
     names = [f"x{i}" for i in range(64)]
