@@ -49,6 +49,8 @@ class Outbox:
             self.again.append((s, doc, start, size))
             self.raw += 150
             return
+        if (doc, start) == old[:2]:  # a repeated row: the same place
+            return
         self.raw += 24
         if (doc, start) < old[:2]:
             self.first[s] = (doc, start, bucket)

@@ -126,6 +126,13 @@ def _settler(length: int, gram: int):
             top, least = far[live], far[live] - n_starts[live] + 1
             repeat = np.zeros((len(live), length - gram + 1), bool)  # by the number of the start within the entry
             a_class, b_class = np.empty(len(live), np.int64), np.empty(len(live), np.int64)
+            # Triggers at one place of one document come from repeated rows and are one.
+            at_doc, trigger = doc[live], start[live] + far[live]
+            rank = np.lexsort((trigger, at_doc))
+            new = np.ones(len(live), np.int64)
+            new[1:] = (np.diff(at_doc[rank]) != 0) | (np.diff(trigger[rank]) != 0)
+            spot = np.empty(len(live), np.int64)
+            spot[rank] = np.cumsum(new)
             for a in range(length - gram + 1):
                 on = np.flatnonzero((least <= a) & (a <= top))
                 if len(on) < 2:
@@ -133,9 +140,11 @@ def _settler(length: int, gram: int):
                 a_class[left] = np.cumsum(left_common < a)
                 b_class[right] = np.cumsum(right_common < length - a)
                 both = a_class[on] * (len(live) + 1) + b_class[on]
-                by = np.argsort(both, kind="stable")  # entries are in corpus order: the first of a class is the earliest
-                again = np.zeros(len(on), bool)
-                again[by[1:]] = both[by[1:]] == both[by[:-1]]
+                by = np.lexsort((spot[on], both))  # in corpus order: the first of a class is the earliest
+                head = np.concatenate(([True], both[by[1:]] != both[by[:-1]]))
+                first = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+                again = np.empty(len(on), bool)
+                again[by] = spot[on[by]] != spot[on[first]]
                 at = on[again]
                 repeat[at, top[at] - a] = True
             entry = np.repeat(live, repeat.shape[1])

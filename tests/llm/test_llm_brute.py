@@ -79,6 +79,20 @@ def test_byte_dedup(spark, seed):
     assert got[None]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 2, 5])
+def test_byte_dedup_of_repeated_rows(spark, tasks):
+    r = random.Random(8)
+    one, two, three = ("".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    texts = {1: one, 2: one[:250] + two, 5: two, 7: three, 8: "short"}
+    rows = [(5, texts[5]), (7, texts[7]), (1, texts[1]), (2, texts[2]), (8, texts[8])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, tasks), "doc_id long, text string")
+    got = {}
+    for x in pfp.dedup_bytes(df).collect():
+        got.setdefault(x["doc_id"], []).append((x["n_removed"], x["kept_sha256"]))
+    kept = {1: one, 2: two, 5: "", 7: three, 8: "short"}
+    assert got == {i: [(len(texts[i]) - len(t), hashlib.sha256(t.encode()).hexdigest())] * 2 for i, t in kept.items()}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_window_dedup(spark, seed):
     texts = corpus(seed)
