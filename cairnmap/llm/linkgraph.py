@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: The least rank of a host that seeds reach: a long way from them it would run under to zero.
+LEAST = 2.0**-1022
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links of a page that name a host: absolute, or with the scheme left out.
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -63,25 +65,35 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select("host", link.alias("link")).select(F.col("host").alias("src"), host_path(target)[0].alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
     """(host, rank): personalised PageRank over edges (src, dst, n) from seeds (host, seed), seeds summing to one.
 
-    Mass that reaches a host without links ends there. Each round sums by host with
-    map-side partial sums and is cut by a checkpoint, so a lost executor costs one round.
+    Mass that reaches a host without links ends there. Ranks grow from the seeds until no
+    new host is reached and none gains more than ``tolerance`` of its own rank in a round;
+    a bound on the whole change would miss hosts far from every seed. Each round sums by
+    host with map-side partial sums and is cut by a checkpoint, so a lost executor costs
+    one round; one number a round goes to the driver.
     """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be in [0, 1)")
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     weight = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    if weight.isEmpty():
-        return rank.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for _ in range(rounds):
-        moved = weight.join(rank, weight["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("w") * F.col("rank")) * damping).alias("rank"))
-        rank = checkpoint(base.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
-
-
-def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("old"))
+    if damping == 0 or weight.isEmpty():
+        return base.select("host", "rank")
+    rank = base.select("host", "rank")
+    while True:
+        moved = weight.join(rank, weight["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("w") * F.col("rank")) * damping).alias("rank"), F.lit(0.0).alias("old"))
+        held = rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+        both = base.unionByName(moved).unionByName(held).groupBy("host").agg(F.greatest(F.sum("rank"), F.lit(LEAST)).alias("rank"), F.sum("old").alias("old"))
+        both = checkpoint(both)
+        rank = both.select("host", "rank")
+        gain = both.agg(F.max(F.abs(F.col("rank") - F.col("old")) / F.col("rank"))).first()[0]
+        if gain is None or gain <= tolerance:
+            return rank
+
+
+def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
     """(host, trust, distrust) from the rule verdicts of each host's pages and the links between hosts."""
     by_host = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
     by_host = checkpoint(by_host)
@@ -91,12 +103,12 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, roun
         return by_host.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(n or 1))).alias("seed"))
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(seeds("allowed", total["a"]), edges, damping, rounds).withColumnRenamed("rank", "trust")
-    distrust = propagate(seeds("blocked", total["b"]), back, damping, rounds).withColumnRenamed("rank", "distrust")
+    trust = propagate(seeds("allowed", total["a"]), edges, damping, tolerance).withColumnRenamed("rank", "trust")
+    distrust = propagate(seeds("blocked", total["b"]), back, damping, tolerance).withColumnRenamed("rank", "distrust")
     return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 10, ratio: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-10, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row for each row of pages.
 
     Without a fitting rule a page is blocked when its host's distrust exceeds ``ratio``
@@ -107,7 +119,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     judged = with_rule(base, rules)
     edges = checkpoint(host_edges(base))
-    scores = host_scores(judged.drop("html"), edges, damping, rounds)
+    scores = host_scores(judged.drop("html"), edges, damping, tolerance)
     by_method = F.when(F.col("distrust") > F.col("trust") * ratio * (1 + 1e-9), "block").otherwise("allow")
     out = judged.drop("html").join(scores, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method, F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -264,6 +264,29 @@ def test_link_graph(spark):
     assert got[4]["trust"] > 0 and got[3]["distrust"] > 0
 
 
+def solved(n, edges, seed, damping=0.85):
+    w = np.zeros((n, n))
+    for a, b, k in edges:
+        w[a, b] += k
+    w /= np.maximum(w.sum(1, keepdims=True), 1)
+    return np.linalg.solve(np.eye(n) - damping * w.T, (1 - damping) * seed)
+
+
+def test_link_graph_far_from_seeds(spark):
+    n = 26  # a chain of farms that ends at a blocked host, and an allowed host that opens another
+    names = [f"farm{i}.net" for i in range(n)] + ["bad.com", "good.org", "x.net", "y.net"]
+    links = [(i, i + 1, 1) for i in range(n)] + [(27, 28, 1), (28, 29, 2), (29, 28, 1), (3, 9, 2), (29, 20, 1)]
+    path = {26: "/de/", 27: "/"}
+    rows = [(i, f"http://{h}{path.get(i, '/p')}", "".join(f'<a href="http://{names[b]}/">t</a>' * k for a, b, k in links if a == i)) for i, h in enumerate(names)]
+    got = {r["page_id"]: r for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    trust, distrust = solved(30, links, np.eye(30)[27]), solved(30, [(b, a, k) for a, b, k in links], np.eye(30)[26])
+    assert np.allclose([got[i]["trust"] for i in range(30)], trust, rtol=1e-8, atol=0)
+    assert np.allclose([got[i]["distrust"] for i in range(30)], distrust, rtol=1e-8, atol=0)
+    for i in set(range(30)) - set(path):
+        assert got[i]["verdict"] == ("block" if distrust[i] > trust[i] * (1 + 1e-9) else "allow")
+    assert all(got[i]["verdict"] == "block" for i in range(20))
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)]
