@@ -21,9 +21,37 @@ SPACE, NEWLINE = 0x20, 0x0A
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a batch of very long texts stays small too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Small Arrow batches, so that a batch of very long texts stays small too.
+
+    The settings belong to the session and plans run later than they are made, so they
+    stay; they are only ever lowered, and results do not depend on them.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(name)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from these that df has not, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def octets(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of text in df: what the optimiser knows of its files, else counted."""
+    try:
+        known = int(str(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    except AttributeError:  # no JVM behind this session
+        known = 0
+    if 0 < known < 1 << 60:  # beyond that the optimiser does not know
+        return known
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def partitions(spark: SparkSession) -> int:
@@ -31,18 +59,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset and one machine does it all."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairnmap-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnmap-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate rows from the shared storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable copy in the folder all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder of our own is set.
+    (tests on one machine) a folder of our own is set. Spark removes the files of dropped
+    frames where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

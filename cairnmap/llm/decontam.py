@@ -1,6 +1,6 @@
 """Benchmark decontamination with a generalised suffix automaton over item words.
 
-Each block of items becomes one automaton over words. Documents stream through it, word
+Each block of items becomes one automaton over words. Documents stream through them, word
 by word; the automaton's state and the longest matching length say which of the last
 words occur in an item. Spans of at least ``window`` matching words are contaminated.
 """
@@ -8,14 +8,16 @@ words occur in an item. Spans of at least ``window`` matching words are contamin
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import id_text, merged, tune
+from .common import checkpoint, fresh, id_text, merged, tune
 
 #: Words are runs of digits, a-z and anything beyond ASCII; in UTF-8 bytes, so that lower() is of ASCII only.
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -144,94 +146,185 @@ def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-_OUT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, clean string"
+Found = tuple[int, list[tuple[int, int]], list[str]]
 
+#: The automaton that this worker process used last, by its block.
+_last: dict[bytes, Automaton] = {}
 
-def _stream(automaton, id_cols: list[str], with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sa: Automaton = automaton.value
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                words = words_of(text)
-                spans, items = sa.hits(words)
-                rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(items), cleaned(text, spans) if with_text and spans else text if with_text else None))
-            out = pd.DataFrame(rows, columns=["n_words", "spans", "items", "clean"])
-            for c in id_cols:
-                out.insert(0, c, pdf[c].to_numpy())
-            yield out
 
-    return run
+def automaton_of(block: bytes, window: int) -> Automaton:
+    """Built from a packed block; with one block a worker builds it once, with more it holds one at a time."""
+    key = hashlib.blake2b(block + bytes([window % 256]), digest_size=16).digest()
+    if key not in _last:
+        _last.clear()
+        _last[key] = Automaton(pickle.loads(zlib.decompress(block)), window)
+    return _last[key]
+
+
+def find(texts: list[str], blocks: list[bytes], window: int, known: list[Found] | None = None) -> list[Found]:
+    """Number of words, merged spans and sorted items of each text over all blocks, and what was known before."""
+    words = [words_of(t) for t in texts]
+    found = known or [(len(w), [], []) for w in words]
+    for block in blocks:
+        sa = automaton_of(block, window)
+        for i, w in enumerate(words):
+            spans, items = sa.hits(w)
+            if spans:
+                n, old, names = found[i]
+                found[i] = n, merged(old + spans) if old else spans, sorted({*names, *items})
+    return found
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Blocks of items with at most block_words words (or one item); the driver holds one block at a time."""
+def packed_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[bytes]:
+    """Items in packed blocks of at most block_words words (or one item); the driver holds one block's words at a time."""
     block: list[tuple[str, list[bytes]]] = []
     size = 0
-    for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
+    for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).toLocalIterator():
         words = words_of(row[1])
         if not words:
             continue
         if block and size + len(words) > block_words:
-            yield block
+            yield zlib.compress(pickle.dumps(block), 1)
             block, size = [], 0
         block.append((row[0], words))
         size += len(words)
-    yield block
+    if block:
+        yield zlib.compress(pickle.dumps(block), 1)
+
+
+def _passes(blocks: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Blocks in groups of at most ``most`` packed bytes, the bound on what one pass broadcasts; one group at least."""
+    group: list[bytes] = []
+    size = n = 0
+    for b in blocks:
+        if group and size + len(b) > most:
+            yield group
+            group, size, n = [], 0, n + 1
+        group.append(b)
+        size += len(b)
+    if group or not n:
+        yield group
+
+
+#: Rows of this many bytes of text are held while the blocks take their turns.
+HOLD = 32 << 20
+
+
+def _step(shared, schema, text_col: str, window: int, before: str | None, after: str, finish: Callable | None):
+    """mapInArrow function: the batches with what was found in column ``after`` (or changed by ``finish``), row by row."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out_schema = to_arrow_schema(schema)
+    kind = pa.struct([("n", pa.int64()), ("s", pa.list_(pa.int32())), ("e", pa.list_(pa.int32())), ("i", pa.list_(pa.string()))])
+
+    def run(batches):
+        blocks: list[bytes] = shared.value
+
+        def flush(waiting):
+            texts, known = [], []
+            for b in waiting:
+                texts += [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                if before:
+                    known += [(x["n"], list(zip(x["s"], x["e"], strict=True)), x["i"]) for x in b.column(b.schema.get_field_index(before)).to_pylist()]
+            found, at = find(texts, blocks, window, known or None), 0
+            for b in waiting:
+                part, some = found[at : at + b.num_rows], texts[at : at + b.num_rows]
+                at += b.num_rows
+                if finish:
+                    if before:
+                        b = b.drop_columns([before])
+                    b = finish(b, some, part)
+                else:
+                    cell = pa.array([{"n": n, "s": [x for x, _ in spans], "e": [x for _, x in spans], "i": names} for n, spans, names in part], kind)
+                    b = b.append_column(after, cell) if not before else b.set_column(b.schema.get_field_index(before), after, cell)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, out_schema, strict=True)], schema=out_schema)
+
+        waiting, held = [], 0
+        for b in batches:
+            if len(blocks) < 2:
+                yield from flush([b])
+                continue
+            waiting.append(b)
+            held += b.nbytes
+            if held > HOLD:
+                yield from flush(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield from flush(waiting)
+
+    return run
+
 
+_CELL = "n bigint, s array<int>, e array<int>, i array<string>"
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = True, block_words: int = 100_000) -> DataFrame:
-    """doc_id, n_words, spans of contaminated words, items with occurring windows, clean text.
 
-    Items are streamed in blocks of ``block_words`` words, which bounds what is broadcast;
-    a small benchmark is one block and the documents are read once without a shuffle.
-    Further blocks add a pass each, merged by document. An item of fewer than ``window``
-    words is one window; items without words have none; a null item id is written as an
-    empty string. A null or empty text has no words. Repeated rows are judged each.
+def _over_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_words: int, broadcast_bytes: int, schema: StructType, finish: Callable) -> DataFrame:
+    """Rows of docs that finish() makes of each batch with its texts and what all blocks found in them.
+
+    One pass over docs for each ``broadcast_bytes`` of packed items; what a pass found goes
+    on with its row through a checkpoint. Rows are never joined, so ids play no part.
     """
-    spark = docs.sparkSession
+    spark, cell = docs.sparkSession, fresh(docs, "found")[0]
     tune(spark)
+    now, before = docs, None
+    groups = _passes(packed_blocks(items, item_col, item_text_col, block_words), broadcast_bytes)
+    group = next(groups)
+    while True:
+        following = next(groups, None)
+        shared = spark.sparkContext.broadcast(group)  # at most broadcast_bytes
+        if following is None:
+            return now.mapInArrow(_step(shared, schema, text_col, window, before, cell, finish), schema)
+        wide = StructType([*docs.schema.fields, StructField(cell, StructType.fromDDL(_CELL))]) if before is None else now.schema
+        now = checkpoint(now.mapInArrow(_step(shared, wide, text_col, window, before, cell, None), wide))
+        before, group = cell, following
+        shared.unpersist()
+
+
+_OUT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>, clean string"
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_text: bool = True, block_words: int = 100_000, broadcast_bytes: int = 256 << 20
+) -> DataFrame:
+    """doc_id, n_words, spans of contaminated words, items with occurring windows, clean text: one row for each row of docs.
+
+    Items go into blocks of ``block_words`` words, each an automaton; a task holds one
+    automaton at a time and some rows, over which the blocks take turns, so documents are
+    read once and without a shuffle for each ``broadcast_bytes`` of packed items. An item
+    of fewer than ``window`` words is one window; items without words have none; a null
+    item id is written as an empty string. A null or empty text has no words. Every row is
+    judged by itself, with repeated and null ids too, and alike whatever the block size.
+    """
+    import pyarrow as pa
+
     base = id_text(docs, id_col, text_col)
-    blocks = list_blocks(blocks_of(items, item_col, item_text_col, block_words))
-    sc, parts = spark.sparkContext, []
-    for block in blocks:
-        shared = sc.broadcast(Automaton(block, window))
-        parts.append(base.mapInPandas(_stream(shared, ["doc_id"], with_text and len(blocks) == 1), f"doc_id long, {_OUT}"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    total = every.where(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    join = base.join(total.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, text, s, i in zip(pdf["doc_id"], pdf["text"], pdf["s"], pdf["i"], strict=True):
-                n = len(words_of(text))
-                spans = [x for x in merged([(x["start"], x["end"]) for x in s]) if x[1] <= n] if s is not None else []
-                rows.append((d, n, [{"start": a, "end": b} for a, b in spans], list(i) if i is not None else [], (cleaned(text, spans) if spans else text) if with_text else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "spans", "items", "clean"]).astype({"doc_id": "Int64"})
-
-    return join.mapInPandas(finish, f"doc_id long, {_OUT}")
-
-
-def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated spans; documents of which at least ``coverage`` of the words is contaminated go.
-
-    Rows with null ids keep their texts.
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def finish(batch, texts: list[str], found: list[Found]):
+        clean = [cleaned(t, spans) if spans else t for t, (_, spans, _) in zip(texts, found, strict=True)] if with_text else [None] * len(texts)
+        columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], span), pa.array([i for _, _, i in found], pa.list_(pa.string())), pa.array(clean, pa.string())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "spans", "items", "clean"])
+
+    return _over_blocks(base, items, "text", item_col, item_text_col, window, block_words, broadcast_bytes, StructType.fromDDL(_OUT), finish)
+
+
+def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 100_000, broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """docs without the contaminated spans; rows of which at least ``coverage`` of the words is contaminated go.
+
+    All columns stay; each row is cleaned by itself, so repeated and null ids need no
+    rule. A null text stays null, and goes with no one.
     """
-    found = decontaminate(docs.where(F.col(id_col).isNotNull()), items, id_col, text_col, **options).where(F.size("spans") > 0)
-    n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    change = found.select(F.col("doc_id").alias("_id"), (n_hit >= F.col("n_words") * coverage).alias("_drop"), F.col("clean").alias("_clean")).dropDuplicates(["_id"])
-    out = docs.join(change, docs[id_col].cast("long") == F.col("_id"), "left").where(~F.coalesce("_drop", F.lit(False)))
-    return out.withColumn(text_col, F.when(F.col("_id").isNotNull(), F.col("_clean")).otherwise(F.col(text_col))).drop("_id", "_drop", "_clean")
+    import pyarrow as pa
 
+    def finish(batch, texts: list[str], found: list[Found]):
+        at = batch.schema.get_field_index(text_col)
+        old = batch.column(at).to_pylist()
+        new = [cleaned(t, spans) if spans else o for o, t, (_, spans, _) in zip(old, texts, found, strict=True)]
+        stay = [not spans or sum(e - s for s, e in spans) < n * coverage for n, spans, _ in found]
+        return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.column(at).type)).filter(pa.array(stay, pa.bool_()))
 
-def list_blocks(blocks: Iterator[list]) -> list[list]:
-    out = [b for b in blocks]
-    return [b for b in out if b] or [[]]
+    return _over_blocks(docs, items, text_col, item_col, item_text_col, window, block_words, broadcast_bytes, docs.schema, finish)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, id_text, mix, partitions, trim, tune, window_hash, word_bounds
+from .common import checkpoint, components, fresh, id_text, mix, partitions, trim, tune, window_hash, word_bounds
 
 BLOCK = "bucket int, payload binary"
 SALTS = 32
@@ -422,9 +422,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of smallest id; rows with null ids stay."""
-    gone = join(docs, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    """docs with one document of each component, the one of smallest id, all columns as they are.
+
+    Rows of that id all stay, for they are one document; so do rows with null ids and
+    documents without words.
+    """
+    (key,) = fresh(docs, "gone")
+    gone = join(docs, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 ORACLE = r"""

@@ -9,7 +9,9 @@ tasks look it up. What the driver holds is bounded by the capacity, not by the c
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,10 @@ from .common import checkpoint, id_text, tune
 # Fixed value: how byte-level BPE splits a text before merging (the published pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Runs of white space on which the fast implementation's backtracking matcher would run out of stack.
+_LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{_LONG_RUN}}}")
+
 
 def _byte_of() -> dict[str, int]:
     """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
@@ -35,8 +41,9 @@ class Encoder:
     """Token ids as the vocabulary file's own tokenizer gives them.
 
     Where the file is a byte-level BPE whose ids are the ranks of its merges, a faster
-    implementation of the same merges is used; texts with the string of a special token,
-    and any other kind of file, go through the tokenizer itself.
+    implementation of the same merges is used; texts with the string of a special token
+    or with a run of 100,000 white-space characters, and any other kind of file, go
+    through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -59,11 +66,17 @@ class Encoder:
                 self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= _LONG_RUN and _RUN.search(text)):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     """Best-fit decreasing over (length: pieces). Returns (segments, number of bins).
 
@@ -119,7 +132,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
             full = min(n, left // k)
             if full:
                 segments.append((length, rank, full * k, first, k, capacity - r))
-                put(r - full * 0 - k * length, first, full)
+                put(r - k * length, first, full)
                 rank, left = rank + full * k, left - full * k
             used = full
             if left and used < n:
@@ -137,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for pdf in batches:
             rows = []

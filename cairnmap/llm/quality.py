@@ -30,8 +30,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows:
 
     The rows are chosen by id before any text is moved.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null").distinct()
-    ids = docs.select(F.col(id_col).cast("long").alias("_id")).where(keep).distinct()
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)").distinct()
+    every = id_text(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text").alias("t"))
+    ids = every.select("_id").where(keep).distinct()
     order = F.xxhash64("_id", F.lit(label))
     picked: list = []
     for y in (0, 1):
@@ -40,7 +41,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows:
         return []
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["_id"], r["y"]) for r in picked], "_id long, y int")  # at most 2 * rows ids
-    texts = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("_id")).select("_id", "y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    texts = every.join(F.broadcast(chosen), "_id")
     return [(r["t"], r["y"]) for r in texts.orderBy(F.xxhash64("_id"), "_id", "y").collect()]
 
 

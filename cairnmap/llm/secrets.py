@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 
 # The kinds in their order, with the pattern, the group that holds the
 # value and the least length of that group. Only ASCII letters fold under (?i).
@@ -22,6 +22,8 @@ KINDS = [
 ]
 #: The first three are the base spans; what follows is added to them.
 N_BASE = 3
+#: Matches that are gathered at a time within one text.
+GROUP = 500
 
 
 def _longest(pattern: str, least: int) -> str:
@@ -40,6 +42,7 @@ def _spans(text: Column, k: int) -> Column:
     pieces = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)")
     zipped = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(pieces, 1, F.size(whole)).alias("p"))
+    zipped = zipped.cast("array<struct<m:string,v:string,p:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -48,8 +51,14 @@ def _spans(text: Column, k: int) -> Column:
         span = F.struct(F.lit(k).alias("kind"), begin.alias("start"), end.alias("end"), x["v"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zipped = zipped.cast("array<struct<m:string,v:string,p:string>>")
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def move(acc: Column, part: Column) -> Column:
+        spans = F.transform(part["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(spans)).alias("out"))
+
+    # Appending copies the array, so matches are gathered by groups, for texts with very many.
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice(zipped, g * GROUP + 1, GROUP), start, step))
+    nested = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<kind:int,start:int,end:int,value:string>>>)").alias("out"))
+    found = F.flatten(F.aggregate(groups, nested, move, lambda acc: acc["out"]))
     return F.when(text.rlike(quick), found).otherwise(empty)
 
 
@@ -62,6 +71,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """One row per row of docs: row, doc_id, owner, repo and its spans by start, then kind.
 
     Null text is empty; without repo_col the document itself counts as the repository.
+    ``copy`` is a digest of the text where there are spans.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(
@@ -70,14 +80,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         (F.col(owner_col) if owner_col in docs.columns else F.lit(None)).cast("string").alias("owner"),
         F.col(repo_col or id_col).cast("string").alias("repo"),
         F.concat(*[_spans(text, k) for k in range(len(KINDS))]).alias("found"),
+        text.alias("text"),
     )
     order = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(F.length(s["value"]) > 0, F.sha2(s["value"], 256)).alias("hash"))))
-    return found.select("row", "doc_id", "owner", "repo", order.alias("spans"))
+    return found.select("row", "doc_id", "owner", "repo", order.alias("spans"), F.when(F.size("found") > 0, F.sha2("text", 256)).alias("copy"))
 
 
-def ownership(found: DataFrame, example_owners: int = 3) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = 3, example_repos: int = 10) -> DataFrame:
     """(hash, n_spans, n_repos, n_owners, live) over all spans.
 
+    A value is live-looking while fewer than ``example_owners`` owners and fewer than
+    ``example_repos`` repositories hold it; where owners are unknown, repositories decide.
+
     Distinct counts go through (hash, owner, repo), then (hash, owner): a value that a
     third of all rows holds is pre-aggregated by each task and never meets in one task.
     """
@@ -85,19 +99,20 @@ def ownership(found: DataFrame, example_owners: int = 3) -> DataFrame:
     pairs = spans.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     total = owners.groupBy("hash").agg(F.sum("n").alias("n_spans"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
-    return total.withColumn("live", F.col("n_owners") < example_owners)
+    return total.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = 3, example_repos: int = 10) -> DataFrame:
     """Secret spans of each document and what the corpus says of their values.
 
     Returns one row per row of docs: row, doc_id, spans (array of start, kind, end, hash;
-    kind is an index into KINDS), n_live, n_example and live (the spans whose value
-    fewer than ``example_owners`` owners hold). Null or empty text: no spans. Repeated
-    rows count as one repository. A null owner counts as one owner.
+    kind is an index into KINDS), copy, n_live, n_example and live (the spans whose value
+    few owners and few repositories hold, see ownership()). Null or empty text: no spans.
+    Repeated rows count as one repository. A null owner counts as one owner, a null
+    repository or id as one repository; no owner column means one owner for all.
     """
     found = checkpoint(find(docs, id_col, text_col, owner_col, repo_col))
-    total = ownership(found, example_owners).select("hash", "live")
+    total = ownership(found, example_owners, example_repos).select("hash", "live")
     each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
     judged = each.withColumn("hash", F.col("s.hash")).join(total, "hash", "left")
     per = judged.groupBy("row").agg(
@@ -106,7 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("s.start", "s.kind", "s.end")))).alias("live"),
     )
     return found.join(per, "row", "left").select(
-        "row", "doc_id", "spans", F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("live", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).alias("live")
+        "row", "doc_id", "spans", "copy", F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("live", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).alias("live")
     )
 
 
@@ -120,10 +135,21 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
+#: Shares that equal texts are dealt over where verdicts meet them.
+SALTS = 16
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with each live-looking span replaced by <secret>; copied examples stay, no row goes."""
-    live = scan(docs, id_col, text_col, **options).where("n_live > 0").select(F.col("doc_id").alias("_id"), F.col("live").alias("_live")).groupBy("_id").agg(F.flatten(F.collect_set("_live")).alias("_live"))
-    text = F.col(text_col)
+    """docs with each live-looking span replaced by <secret>; copied examples stay, no row goes.
+
+    What is live in a text follows from the text and the corpus alone, so verdicts meet
+    the rows by a digest of the text: repeated and null ids are judged like any other. A
+    null text stays null. Columns of any name pass through.
+    """
+    key, salt, live = fresh(docs, "copy", "salt", "live")
+    of_text = scan(docs, id_col, text_col, **options).where("n_live > 0").groupBy("copy").agg(F.first("live").alias(live))  # equal texts have equal spans
+    of_text = of_text.select(F.col("copy").alias(key), live, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    text = F.col(text_col).cast("string")
     acc = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -132,9 +158,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         joined = F.when(s["start"] >= a["at"], F.concat(a["out"], kept, F.lit("<secret>"))).otherwise(a["out"])
         return F.struct(F.when(covered, a["at"]).otherwise(s["end"]).alias("at"), F.when(covered, a["out"]).otherwise(joined).alias("out"))
 
-    clean = F.aggregate(F.array_sort("_live"), acc, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = docs.join(live, docs[id_col].cast("long") == F.col("_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("_live").isNull() | text.isNull(), text).otherwise(clean)).drop("_id", "_live")
+    clean = F.aggregate(F.array_sort(F.col(live)), acc, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    dealt = docs.withColumn(key, F.sha2(text, 256)).withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    out = dealt.join(of_text, [key, salt], "left").withColumn(text_col, F.when(F.col(live).isNull() | text.isNull(), F.col(text_col)).otherwise(clean))
+    return out.select(*docs.columns)
 
 
 def oracle(n_kinds: int = N_BASE) -> str:
@@ -153,7 +180,7 @@ def oracle(n_kinds: int = N_BASE) -> str:
     s as (select *, sum(length(p) + length(m)) over (partition by doc_id, kind order by i) as stop from m),
     k as (select doc_id, source, kind, name, (stop - length(m))::bigint as start, stop::bigint as stop, sha256(v) as h, name || ':' || (stop - length(m))::bigint || ':' || stop::bigint as txt
           from s where length(v) >= case kind {least} end),
-    o as (select h, count(distinct coalesce(source, '')) < 3 as live from k group by h),
+    o as (select h, count(distinct coalesce(source, '')) < 3 and count(distinct coalesce(doc_id, -1)) < 10 as live from k group by h),
     d as (select doc_id,
             count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
             string_agg(txt, ',' order by start, kind) filter (kind < {N_BASE}) as base, string_agg(txt, ',' order by start, kind) as spans,

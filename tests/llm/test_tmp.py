@@ -1,0 +1,13 @@
+import pytest
+from cairnmap.llm import secrets
+def test_redact(spark):
+    d = spark.createDataFrame([(1, "password=hunter2hunter2 x", 1, "a"), (1, "an innocent other text here", 2, "b"), (None, "token: abcdef0123456 \U0001f600 password=hunter2hunter2", 3, "c"), (4, None, 1, "d")] + [(100+i, "password=changeme12", 0, "z") for i in range(30)] , "doc_id long, text string, _id int, live string")
+    got = sorted(str(tuple(r)) for r in secrets.redact(d).where("doc_id is null or doc_id < 100 or doc_id=101").collect())
+    print("\n".join(got)); print(secrets.scan(d).columns)
+    assert 0
+def test_many(spark):
+    import time
+    d = spark.createDataFrame([(1, "token=abcdefgh%06d " * 20000 % tuple(range(20000)))], "doc_id long, text string")
+    b=time.time(); r=secrets.digest(secrets.scan(d)).collect()[0]; print(r.n_assign, r.spans[-40:], time.time()-b)
+    b=time.time(); r=secrets.redact(d).collect()[0]; print(len(r.text), r.text[:30], time.time()-b)
+    assert 0
