@@ -42,7 +42,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
-    return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("spans")
+    return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ likely tokens are the offending spans.
 
 from __future__ import annotations
 
+import functools
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -37,35 +38,57 @@ def tokens(text: str) -> list[str]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass").split()
 
 
+@functools.lru_cache(200_000)
 def features(word: str) -> list[str]:
-    """The word and its affixes."""
+    """The word and its affixes; remembered, not to be changed."""
     n = len(word)
     return [word, *(f"{word[:k]}*" for k in range(3, 9) if k < n), *(f"*{word[-k:]}" for k in (4, 5) if k < n)]
 
 
-def odds(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Log odds of the toxic tag for each token, by forward and backward passes over padded chains.
+#: Log weight of a chain's first token being toxic against its not being so.
+START = -2.0
+
+
+def both_ways(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward passes over padded chains: ratios of the two tags' sums, and the emissions' ratios.
 
     emission: (T, B) log weight of the toxic tag against the other; trans: 2 x 2 log
-    weights from tag to tag. Both passes carry the ratio of the two tags' sums.
+    weights from tag to tag.
     """
     steps, n = emission.shape
     w = np.exp(trans)
     e = np.exp(np.clip(emission, -30, 30))
-    fwd = np.empty((steps, n))
-    r = np.full(n, np.exp(-2.0))
+    fwd, bwd = np.empty((steps, n)), np.empty((steps, n))
+    r = np.full(n, np.exp(START))
     for t in range(steps):
         r = e[t] * ((w[0, 1] + w[1, 1] * r) / (w[0, 0] + w[1, 0] * r)) if t else e[0] * r
         np.clip(r, 1e-12, 1e12, out=r)
         fwd[t] = r
     r = np.ones(n)
-    out = fwd
     for t in range(steps - 1, -1, -1):
-        out[t] *= r
+        bwd[t] = r
         x = e[t] * r
         nxt = (w[1, 0] + w[1, 1] * x) / (w[0, 0] + w[0, 1] * x)
         r = np.where(t < length, nxt, 1.0)  # beyond the end of a chain nothing is known
-    return np.log(np.clip(out, 1e-12, 1e12))
+    return fwd, bwd, e
+
+
+def odds(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Log odds of the toxic tag for each token."""
+    fwd, bwd, _ = both_ways(emission, length, trans)
+    fwd *= bwd
+    return np.log(np.clip(fwd, 1e-12, 1e12))
+
+
+def expected(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag, and the expected number of each pair of neighbouring tags over all chains."""
+    fwd, bwd, e = both_ways(emission, length, trans)
+    inside = np.arange(1, len(e))[:, None] < length
+    w, x = np.exp(trans), e[1:] * bwd[1:]
+    mass = np.stack((np.full_like(x, w[0, 0]), w[0, 1] * x, w[1, 0] * fwd[:-1], w[1, 1] * fwd[:-1] * x))
+    mass *= inside / mass.sum(0)
+    r = np.clip(fwd * bwd, 1e-12, 1e12)
+    return r / (1 + r), mass.sum((1, 2)).reshape(2, 2)
 
 
 def padded(chains: list[np.ndarray], size: int = 1 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -128,20 +151,15 @@ def summary(p: np.ndarray) -> tuple[float, ...]:
     return np.log(s + 0.05), np.log((s + 0.05) / (len(p) + 20)), np.log1p(float((p > 0.9).sum())), np.log(top + 1e-4) - np.log(1 - top + 1e-4)
 
 
-def fit(rows: list[tuple[str, int]], max_tokens: int = 800_000, max_length: int = 1500, epochs: int = 30, rounds: int = 2) -> Model:
-    """Fit to a bounded sample of labelled texts (at most ``max_tokens`` tokens; longer texts only if there are few).
+def fit(rows: list[tuple[str, int]], chain: int = 256, epochs: int = 24, rounds: int = 2) -> Model:
+    """Fit to labelled texts, all of each: long ones are cut into chains of ``chain`` tokens while learning.
 
-    Two thirds teach the field, all of the sample the calibration, those it has not seen thrice.
+    Two thirds teach the field, all the calibration, those the field has not seen thrice.
+    The weights climb the chains' log likelihood by its exact gradient.
     """
-    docs: list[tuple[list[str], int]] = []
-    size = 0
     known = [(tokens(text), y) for text, y in dict.fromkeys(rows)]  # equal texts teach once
-    short = [x for x in known if 0 < len(x[0]) <= max_length]
-    both = len(short) >= len(known) // 2 and len({y for _, y in short}) == len({y for _, y in known})
-    for t, y in random.Random(7).sample(short if both else known, len(short if both else known)):
-        if t and size < max_tokens:
-            docs.append((t, y))
-            size += len(t)
+    docs = [x for x in known if x[0]]
+    random.Random(7).shuffle(docs)
     rest = docs[: len(docs) // 3]
     if len(rest) > 20:
         docs = docs[len(docs) // 3 :]
@@ -168,24 +186,32 @@ def fit(rows: list[tuple[str, int]], max_tokens: int = 800_000, max_length: int
     row = np.repeat(np.arange(len(words)), [len(f) for f in feats])
     col = np.array([f for fs in feats for f in fs], np.int64)
     seed = np.array([max([lift[f] for f in features(w) if f in lift], default=-9.0) for w in words])
-    chains = [np.array([index[w] for w in d]) for d, _ in docs]
-    groups = [(g, x.astype(np.int64), ln) for g, x, ln in padded(chains, 1 << 18)]
+    chains, owner = [], []
+    for i, (d, _) in enumerate(docs):
+        ids = np.array([index[w] for w in d])
+        chains += [ids[k : k + chain] for k in range(0, len(ids), chain)]
+        owner += [i] * -(-len(ids) // chain)
+    of = np.array(owner)
+    groups = [(np.array(g), x.astype(np.int64), ln) for g, x, ln in padded(chains, 1 << 19)]
     theta = np.zeros(len(vocab))
     model = Model({}, bias=-4.0)
     bias, trans = model.bias, model.trans.copy()
     target = None
     for turn in range(rounds):
-        # Tokens of toxic documents: at first by lift, then by the field; at least one in each.
-        labels = []
+        # Tokens of toxic documents: at first by lift, then by the field; at least one in each document.
+        labels, top, best = [], np.full(len(docs), -np.inf), {}
         emission = bias + np.bincount(row, theta[col], len(words)) if len(col) else np.full(len(words), bias)
-        for g, x, ln in groups:
+        for n, (g, x, ln) in enumerate(groups):
             inside = np.arange(len(x))[:, None] < ln
             belief = seed[x] - 2.0 if target is None else odds(emission[x], ln, trans)
             belief = np.where(inside, belief, -99.0)
-            lab = (belief > 0) & inside
-            top = belief.argmax(0)
-            lab[top, np.arange(len(g))] = True
-            labels.append((lab & (y[g] == 1), inside))
+            labels.append(((belief > 0) & inside & (y[of[g]] == 1), inside))
+            at = belief.argmax(0)
+            for k, (d, t, v) in enumerate(zip(of[g].tolist(), at.tolist(), belief[at, np.arange(len(g))].tolist(), strict=True)):
+                if v > top[d]:
+                    top[d], best[d] = v, (n, t, k)
+        for d, (n, t, k) in best.items():
+            labels[n][0][t, k] |= y[d] == 1
         target = labels
         acc = np.full(len(vocab), 1e-3)
         acc_b, acc_t = 1e-3, np.full((2, 2), 1e-3)
@@ -195,16 +221,12 @@ def fit(rows: list[tuple[str, int]], max_tokens: int = 800_000, max_length: int
             grad_w = np.zeros(len(words))
             gb, gt = 0.0, np.zeros((2, 2))
             for (_, x, ln), (lab, inside) in zip(groups, target, strict=True):
-                p = 1 / (1 + np.exp(-odds(emission[x], ln, trans)))
+                p, pairs = expected(emission[x], ln, trans)
                 d = np.where(inside, p - lab, 0.0)
                 grad_w += np.bincount(x.ravel(), d.ravel(), len(words))
                 gb += d.sum()
-                both = inside[1:]
-                for a in (0, 1):  # expected against observed pairs, with the product of marginals for the pair
-                    for b in (0, 1):
-                        pa, pb = (p[:-1] if a else 1 - p[:-1]), (p[1:] if b else 1 - p[1:])
-                        la, lb = (lab[:-1] if a else ~lab[:-1]), (lab[1:] if b else ~lab[1:])
-                        gt[a, b] += ((pa * pb - (la & lb)) * both).sum()
+                code = 2 * lab[:-1].astype(np.int8) + lab[1:]
+                gt += pairs - np.bincount(code[inside[1:]], minlength=4).reshape(2, 2)
             g = (np.bincount(col, grad_w[row], len(vocab)) if len(col) else np.zeros(len(vocab))) + 0.3 * theta
             acc += g * g
             theta -= 0.5 * g / np.sqrt(acc)
@@ -319,16 +341,17 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
     return docs.mapInArrow(run, docs.schema)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = 1500, id_col: str = "doc_id") -> Model:
-    """Fit to at most ``rows`` labelled texts of each class outside the held-out fold."""
-    return fit(labelled(docs, labels, label, remainder("_id", folds) != held_out, rows, id_col))
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = 1500, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit to at most ``rows`` labelled texts of each class outside the held-out fold, and at most ``sample_bytes`` of whole texts."""
+    return fit(labelled(docs, labels, label, remainder("_id", folds) != held_out, rows, id_col, text_col, sample_bytes))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, threshold: float = 0.7, rows: int = 1500, id_col: str = "doc_id", with_spans: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans.
+def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, threshold: float = 0.7, rows: int = 1500, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans (start and end in characters of runs of toxic tokens).
 
     Null labels and labels other than 0 and 1 are ignored; with labels of one class only
-    every score follows that class. Repeated rows are scored each.
+    every score follows that class. Repeated rows and rows with null ids are scored each;
+    empty and null texts have no tokens.
     """
-    model = learn(docs, labels, label, folds, held_out, rows, id_col)
-    return score(docs, model, threshold, with_spans=with_spans, id_col=id_col).select("doc_id", (remainder("doc_id", folds) == held_out).alias("held_out"), "score", "predicted", "spans")
+    model = learn(docs, labels, label, folds, held_out, rows, sample_bytes, id_col, text_col)
+    return score(docs, model, threshold, with_spans=with_spans, id_col=id_col, text_col=text_col).select("doc_id", (remainder("doc_id", folds) == held_out).alias("held_out"), "score", "predicted", "spans")
