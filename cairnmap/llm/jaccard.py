@@ -10,8 +10,10 @@ bucket. Candidates are pruned by Hamming distance where groups are large and ver
 their texts.
 
 Groups do not become all pairs: a group of more than ``small`` documents gives links to
-its smallest member only, and, after components are known, links between documents of
-different components that the sketches allow.
+its smallest member only. Groups that then still span components are dealt in pairs of
+blocks; of what the sketches allow between different components each document offers its
+smallest partners, more of them each round, until none is left out: what is verified in
+one round makes most of the rest needless in the next.
 """
 
 from __future__ import annotations
@@ -143,20 +145,18 @@ def _word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, ends[:-1]))
 
 
-def _counter(shape: Shape):
-    """doc_id, number of shingles, and a digest of the normal text by which copies are known."""
+#: One pass over the texts gives both: of each row (doc_id, n_shingles, copy), and blocks of keys for the buckets.
+SENT = "doc_id long, n_shingles long, copy binary, bucket int, payload binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _chunks(batches):
-            n = [len(shingle_hashes(h, shape.words)) for h in _word_hashes(texts)]
-            yield pd.DataFrame({"doc_id": pd.array([None if d != d else d for d in ids], "Int64"), "n_shingles": n, "copy": [blake2b(t, digest_size=16).digest() if t else None for t in texts]})
-        trim()
 
-    return run
+def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
+    """Number of shingles and digest of the normal text of each row; keys with document ids by bucket.
 
+    Of equal texts within a task only the smallest id sends keys.
+    """
 
-def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
-    """Keys with document ids by bucket; of equal texts within a task only the smallest id sends."""
+    def rows_of(ids: list[int], n: list[int], copy: list[bytes | None]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": pd.array([None if d != d else d for d in ids], "Int64"), "n_shingles": pd.array(n, "Int64"), "copy": copy, "bucket": pd.array([None] * len(ids), "Int32"), "payload": None})
 
     def blocks(ids: list[np.ndarray], ks: list[np.ndarray]) -> pd.DataFrame:
         k = np.concatenate(ks)
@@ -169,14 +169,15 @@ def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
         k, d, bucket = k[keep], d[keep], bucket[keep]
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         packer = zstandard.ZstdCompressor(level=1)
-        rows = []
+        payloads = []
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(k)], strict=True):
             known, index = np.unique(d[a:b], return_inverse=True)
             gap = np.diff(k[a:b], prepend=np.uint64(0))
             columns = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T).tobytes()  # by byte, so that the high bytes compress
             which = np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-            rows.append((int(bucket[a]), packer.compress(struct.pack("<QQ", b - a, len(known)) + np.diff(known, prepend=0).astype("<i8").tobytes() + columns + which)))
-        return pd.DataFrame(rows, columns=["bucket", "payload"])
+            payloads.append(packer.compress(struct.pack("<QQ", b - a, len(known)) + np.diff(known, prepend=0).astype("<i8").tobytes() + columns + which))
+        none = pd.array([None] * len(at), "Int64")
+        return pd.DataFrame({"doc_id": none, "n_shingles": none, "copy": None, "bucket": bucket[at].astype(np.int32), "payload": payloads})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes: dict[int, list] = {}
@@ -185,21 +186,23 @@ def _sender(shape: Shape, n_buckets: int, flush: int = 1_500_000):
         held = 0
         sent: dict[bytes, int] = {}
         for docs, texts in _chunks(batches):
-            first: dict[bytes, int] = {}
-            for d, t in zip(docs, texts, strict=True):
-                if t and (t not in first or d < first[t]):
-                    first[t] = d
-            # A copy of a text sent earlier in the task by a smaller id is known by its digest and need not be sent again.
-            first = {t: d for t, d in first.items() if sent.setdefault(blake2b(t, digest_size=16).digest(), d) >= d}
-            for (_, d), h in zip(first.items(), _word_hashes(list(first)) if first else [], strict=True):
-                s = shingle_hashes(h, shape.words)
-                n = len(s)
+            copy = [blake2b(t, digest_size=16).digest() if t else None for t in texts]
+            sets = [shingle_hashes(h, shape.words) for h in _word_hashes(texts)]
+            yield rows_of(docs, [len(x) for x in sets], copy)
+            for c, d in zip(copy, docs, strict=True):
+                if c is not None and d == d and d < sent.get(c, d + 1):
+                    sent[c] = d
+            # A copy of a text that a smaller id of the task has is known by its digest and need not be sent.
+            for c, d, x in zip(copy, docs, sets, strict=True):
+                if c is None or d != d or sent[c] != d:
+                    continue
+                n = len(x)
                 limits = sizes.get(n)
                 if limits is None:
                     limits = sizes[n] = limits_of(n, shape)
-                k = keys(s, shape, limits)
+                k = keys(x, shape, limits)
                 ks.append(k)
-                ids.append(np.full(len(k), d, np.int64))
+                ids.append(np.full(len(k), int(d), np.int64))
                 held += len(k)
             if held > flush:
                 yield blocks(ids, ks)
@@ -277,17 +280,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verifier(shape: Shape):
-    """Streams texts sorted by pair centre: the centre's own text first, then its partners'."""
+    """Streams texts sorted by pair centre: the centre's own texts first, then its partners'; any two of them may be similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, own = None, None
+        centre, own = None, []
         for pdf in batches:
             a, b = [], []
             for c, s, d, t in zip(pdf["a"].tolist(), pdf["salt"].tolist(), pdf["b"].tolist(), pdf["text"].tolist(), strict=True):
                 h = shingles(normal(t), shape.words, shape.words)
+                if centre != (c, s):
+                    centre, own = (c, s), []
                 if d == c:
-                    centre, own = (c, s), h
-                elif centre == (c, s) and similar(own, h, shape.percent):
+                    own.append(h)
+                elif any(similar(x, h, shape.percent) for x in own):
                     a.append(c)
                     b.append(d)
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
@@ -335,49 +340,91 @@ def _fold(bits: np.ndarray, m: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, m), axis=0) if len(bits) > m else bits
 
 
-def _pruner(shape: Shape, hold: int = 512):
-    """Large groups, sorted by key: pairs of different components whose sketches differ in few enough bits.
+def _pruner(shape: Shape, width: int):
+    """Pairs of blocks of a group, sorted by (g, i, j, side): what the sketches allow between different components.
 
-    Members are held in blocks; all pairs of a group are compared in memory, bit by bit in
-    numpy, and only those that may be similar leave the task.
+    Of that, each document offers its ``width`` smallest partners in the other block;
+    ``more`` marks that some pair was offered by neither side.
     """
 
-    def near(x: list, y: list, same: bool) -> list[tuple[int, int]]:
-        out = []
-        n_y, c_y = np.array([r[1] for r in y]), np.array([r[2] for r in y])
+    def near(x: list, y: list) -> tuple[list[tuple[int, int]], bool]:
+        same = not y
+        x = sorted(x, key=lambda r: r[0])
+        y = x if same else sorted(y, key=lambda r: r[0])
+        out, more = [], False
+        id_y, n_y, c_y = (np.array([r[k] for r in y]) for k in range(3))
         m = min(len(r[3]) for r in [*x, *y])
         bits = np.array([_fold(r[3], m) for r in y])
-        for i, (d, n, c, w) in enumerate(x):
-            at = np.flatnonzero((c_y != c) & (np.minimum(n, n_y) * 100 >= np.maximum(n, n_y) * shape.percent))
-            if same:
-                at = at[at > i]
-            if len(at):
-                far = np.bitwise_count(bits[at] ^ _fold(w, m)).sum(1)
-                most = (n + n_y[at]) * (100 - shape.percent) // (100 + shape.percent)
-                out += [(min(d, y[j][0]), max(d, y[j][0])) for j in at[far <= most].tolist()]
-        return out
+        taken = np.zeros(len(y), np.int64)
+        for d, n, c, w in x:
+            at = np.flatnonzero((c_y != c) & (np.minimum(n, n_y) * 100 >= np.maximum(n, n_y) * shape.percent) & (id_y != d))
+            if not len(at):
+                continue
+            far = np.bitwise_count(bits[at] ^ _fold(w, m)).sum(1)
+            at = at[far <= (n + n_y[at]) * (100 - shape.percent) // (100 + shape.percent)]
+            offer = taken[at] < width
+            offer[:width] = True
+            more |= not offer.all()
+            taken[at] += 1
+            out += [(min(d, o), max(d, o)) for o in id_y[at[offer]].tolist()]
+        return out, more
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, blocks, last = None, [], []
+        key, sides = None, ([], [])
+
+        def flush() -> pd.DataFrame:
+            pairs, more = near(*sides) if len(sides[0]) + len(sides[1]) > 1 and sides[0] else ([], False)
+            pairs = sorted(set(pairs))
+            return pd.DataFrame({"a": pd.array([p[0] for p in pairs] + [None] * more, "Int64"), "b": pd.array([p[1] for p in pairs] + [None] * more, "Int64")})
+
         for pdf in batches:
-            out: list[tuple[int, int]] = []
-            for g, d, n, c, w in zip(pdf["g"].tolist(), pdf["a"].tolist(), pdf["n"].tolist(), pdf["c"].tolist(), pdf["bits"].tolist(), strict=True):
-                if g != group:
-                    if last:
-                        out += near(last, last, True) + [p for b in blocks for p in near(last, b, False)]
-                    group, blocks, last = g, [], []
-                last.append((d, n, c, np.frombuffer(w, np.uint64)))
-                if len(last) == hold:
-                    out += near(last, last, True) + [p for b in blocks for p in near(last, b, False)]
-                    blocks.append(last)
-                    last = []
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-        if last:
-            yield pd.DataFrame(sorted(set(near(last, last, True) + [p for b in blocks for p in near(last, b, False)])), columns=["a", "b"], dtype="int64")
+            for g, i, j, side, d, n, c, w in zip(*(pdf[k].tolist() for k in ("g", "i", "j", "side", "a", "n", "c", "bits")), strict=True):
+                if (g, i, j) != key:
+                    if key is not None and (key[1] == key[2] or sides[1]):
+                        yield flush()
+                    key, sides = (g, i, j), ([], [])
+                sides[side].append((d, n, c, np.frombuffer(w, np.uint64)))
+        if key is not None and (key[1] == key[2] or sides[1]):
+            yield flush()
+        trim()
 
     return run
 
 
+def _settled(comp: DataFrame, met: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """Components after all links within larger groups are found; met holds rows (g, a)."""
+    n = partitions(texts.sparkSession)
+    bits = tested = None
+    width = 1
+    while True:
+        member = met.join(comp, F.col("a") == F.col("id"), "left").select("g", "a", F.coalesce("component", "a").alias("c"))
+        # Groups that still span components; of groups with the same members one.
+        open_groups = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("lo <> hi")
+        once = open_groups.groupBy("size", "x", "y").agg(F.min("g").alias("g")).select("g", "size")
+        rest = checkpoint(member.join(once, "g"))
+        if rest.isEmpty():
+            return comp
+        if bits is None:  # later rounds need no other documents
+            wide = rest.select(F.col("a").alias("_need")).distinct()
+            bits = checkpoint(texts.join(wide, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary").distinct())
+        # A group of s documents in about sqrt(s) / 4 blocks: each document goes to as many pairs of blocks.
+        count = F.ceil(F.sqrt("size") / 4).cast("int")
+        block = F.pmod(F.xxhash64("a", "g"), count).cast("int")
+        dealt = rest.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "a", "c")
+        dealt = dealt.join(bits, F.col("a") == F.col("_id")).select("g", "i", "j", "side", "a", "n", "c", "bits").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+        found = checkpoint(dealt.mapInPandas(_pruner(shape, width), "a long, b long"))
+        pairs = found.where("a is not null").distinct()
+        more = not found.where("a is null").isEmpty()
+        new = checkpoint(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        tested = new if tested is None else tested.unionByName(new)
+        links = verified(new, texts, shape)
+        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if not more:
+            return comp
+        width *= 8
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 4, spread: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -385,39 +432,32 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     the distinct shingles of ``words`` words, or a shorter text's whole sequence. Two
     documents link when 100 * intersection >= percent * union. Null texts and texts
     without words have no set and link with nothing; a null id is its own, null,
-    component. Rows of one id count as one document. Shingles are compared by 64-bit
-    hashes. Links between equal texts come from a digest; all others are verified.
+    component. Rows of one id count as one document, which links by any of its texts.
+    Shingles are compared by 64-bit hashes. Links between equal texts come from a digest;
+    all others are verified.
     """
     spark = docs.sparkSession
     tune(spark)
     shape, n = Shape(words, percent), partitions(spark)
     base = id_text(docs, id_col, text_col)
-    counted = checkpoint(base.mapInPandas(_counter(shape), "doc_id long, n_shingles long, copy binary"))
-    known = counted.where("doc_id is not null and copy is not null")
+    sent = checkpoint(base.mapInPandas(_sender(shape, spread * n), SENT))
+    counted = sent.where("bucket is null").select("doc_id", "n_shingles", "copy")
+    known = counted.where("doc_id is not null and copy is not null").select("doc_id", "copy")
     # Copied texts only, each dealt over salts: a text that a third of all rows copy does not meet in one task.
     first = known.groupBy("copy").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("copy", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["copy", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    met = base.where("doc_id is not null").mapInPandas(_sender(shape, spread * n), BLOCK).repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_meeter(small), "a long, b long, g long")
-    # A copy stands for the smallest of its texts, so that equal texts are verified once.
-    low = copies.select("a", F.col("b").alias("low"))
+    copies = checkpoint(known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["copy", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+    met = sent.where("bucket is not null").select("bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_meeter(small), "a long, b long, g long")
+    # A copy stands for the smallest of its texts, so that equal texts are verified once; not where an id has other texts too.
+    texts_of = known.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("copy").alias("x"), F.max("copy").alias("y")).where("x = y").select(F.col("doc_id").alias("a"))
+    low = copies.join(texts_of, "a").select("a", F.col("b").alias("low"))
     met = met.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b", "g").join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("b"), "g")
     met = checkpoint(met.where("g is not null or a <> b").select(F.when(F.col("g").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("g").isNull(), F.greatest("a", "b")).alias("b"), "g").distinct())
     pairs = met.where("g is null").select("a", "b")
     # Only texts of documents that met others move again.
     need = met.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_need")
     texts = checkpoint(base.join(need, F.col("doc_id") == F.col("_need"), "left_semi"))
-    links = checkpoint(verified(pairs, texts, shape).unionByName(copies))
-    comp = components(links)
-    # Larger groups that still span components.
-    member = met.where("g is not null").select("g", "a").join(comp, F.col("a") == F.col("id"), "left").select("g", "a", F.coalesce("component", "a").alias("c"))
-    open_groups = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    rest = checkpoint(member.join(open_groups, "g", "left_semi"))
-    if not rest.isEmpty():
-        wide = rest.select(F.col("a").alias("_need")).distinct()
-        bits = texts.join(wide, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary")
-        more = rest.join(bits.dropDuplicates(["_id"]), F.col("a") == F.col("_id")).select("g", "a", "n", "c", "bits").repartition(n, "g").sortWithinPartitions("g", "a").mapInPandas(_pruner(shape), "a long, b long").distinct()
-        more = checkpoint(verified(checkpoint(more), texts, shape))
-        comp = components(links.unionByName(more))
+    comp = components(checkpoint(verified(pairs, texts, shape).unionByName(copies)))
+    comp = _settled(comp, met.where("g is not null").select("g", "a"), texts, shape)
     return counted.join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
