@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hnsw
 
-    return hnsw.near_duplicates(documents(spark, sf_dir, "embeddings"))
+    return hnsw.digest(hnsw.near_duplicates(documents(spark, sf_dir, "embeddings")))
 
 
 def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    from . import decontam, jaccard, linkgraph, secrets, superkmer
+    from . import decontam, hnsw, jaccard, linkgraph, secrets, superkmer
 
-    return {"op1_secret_scan": secrets.oracle(), "op2_decontaminate": decontam.ORACLE, "op3_window_dedup": superkmer.ORACLE, "op4_jaccard_join": jaccard.ORACLE, "op9_url_filter": linkgraph.oracle()}
+    return {"op1_secret_scan": secrets.oracle(), "op2_decontaminate": decontam.ORACLE, "op3_window_dedup": superkmer.ORACLE, "op4_jaccard_join": jaccard.ORACLE, "op7_vector_dedup": hnsw.ORACLE, "op9_url_filter": linkgraph.oracle()}

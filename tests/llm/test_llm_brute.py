@@ -245,11 +245,42 @@ def test_graph_recall():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph(x)
     assert len(g.layers) > 1 and sorted(g.order.tolist()) == list(range(4000))
-    ids, _ = g.search(x[:200], hnsw.audited(g, 0.95, 0.99))
+    width, seen = hnsw.audited(g, 0.95, 0.9)
+    assert seen >= 0.9
+    ids, _ = g.search(x[:200], width)
     want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(g.order[a[a >= 0]]) & set(b)) / 10 for a, b in zip(ids, want, strict=True)]) > 0.9
 
 
+def test_audit_leaves_out_the_asker():
+    """Few links among many vectors: a search that finds none of them does not pass."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    x[1:100:2] = x[0:100:2] + 0.001
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Blind(hnsw.Graph):
+        def within(self, q, least, width):
+            return [np.flatnonzero(row >= 0.999999) for row in q @ self.x.T]
+
+    assert hnsw.audited(Blind(x), 0.95, 0.99)[0] is None
+    assert hnsw.audited(hnsw.Graph(x[:500]), 0.95, 0.99) == (None, 1.0)
+    found = hnsw.exact(x, x[:4], 0.95)
+    assert [f.tolist() for f in found] == [[0, 1], [0, 1], [2, 3], [2, 3]]
+
+
+def test_vectors_over_large_shards(spark):
+    """Graph search in shards too large for brute force: components and links as brute force finds them."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(900, 12))
+    x = np.concatenate([centre, centre[:300] + rng.normal(size=(300, 12)) * 0.04, rng.normal(size=(2000, 12))])
+    got = hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shards=2).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    assert sum(r["n_links"] for r in got) >= 0.99 * (s.sum() - len(x))
+    assert all(r["n_links"] <= s[r["vec_id"]].sum() - 1 for r in got) and min(r["recall"] for r in got) >= 0.99
+
+
 def test_link_graph(spark):
     html = lambda *urls: "".join(f'<a class="x" href="{u}">t</a>' for u in urls)
     rows = [
