@@ -11,9 +11,10 @@ their texts.
 
 Groups do not become all pairs: a group of more than ``small`` documents gives links to
 its smallest member only. Groups that then still span components are dealt in pairs of
-blocks; of what the sketches allow between different components each document offers its
-smallest partners, more of them each round, until none is left out: what is verified in
-one round makes most of the rest needless in the next.
+blocks, of which one side lies outside the group's largest component; of what the
+sketches allow between different components each document offers its smallest partners,
+more of them each round, until none is left out: what is verified in one round makes most
+of the rest needless in the next.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, fresh, id_text, mix, partitions, trim, tune, window_hash, word_bounds
@@ -391,32 +392,45 @@ def _pruner(shape: Shape, width: int):
     return run
 
 
-def _settled(comp: DataFrame, met: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+def _blocks(size: Column) -> Column:
+    """Number of blocks of so many documents: sqrt(size) / 4 for large ones, so that a block's rows and its copies grow alike."""
+    return F.greatest(F.lit(1), F.least(F.ceil(size / 256), F.ceil(F.sqrt(size) / 4))).cast("int")
+
+
+def _in_blocks(rest: DataFrame, shape: Shape, width: int, n: int) -> DataFrame:
+    """Rows (a, b) of pairs that blocks of open groups offer, and a row of nulls for each pair of blocks that left some out.
+
+    Documents outside a group's largest component (minor) meet all, those inside only the
+    minor ones: blocks 0 to few - 1 are minor ones, the others follow.
+    """
+    few, many = _blocks(F.col("size") - F.col("n_top")), _blocks(F.col("n_top"))
+    minor, h = F.col("c") != F.col("top"), F.xxhash64("a", "g")
+    own = F.when(minor, F.pmod(h, few)).otherwise(few + F.pmod(h, many)).cast("int")
+    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, few + many).otherwise(few) - 1)))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "a", "n", "c", "bits")
+    return dealt.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "side").mapInPandas(_pruner(shape, width), "a long, b long")
+
+
+def _settled(comp: DataFrame, met: DataFrame, texts: DataFrame, shape: Shape, width: int = 4) -> DataFrame:
     """Components after all links within larger groups are found; met holds rows (g, a)."""
     n = partitions(texts.sparkSession)
     bits = tested = None
-    width = 1
     while True:
         member = met.join(comp, F.col("a") == F.col("id"), "left").select("g", "a", F.coalesce("component", "a").alias("c"))
         # Groups that still span components; of groups with the same members one.
-        open_groups = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("lo <> hi")
-        once = open_groups.groupBy("size", "x", "y").agg(F.min("g").alias("g")).select("g", "size")
+        parts = member.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y"))
+        whole = parts.groupBy("g").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("top"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("size > top.n")
+        once = whole.groupBy("size", "x", "y").agg(F.min(F.struct("g", "top")).alias("s")).select("s.g", "size", F.col("s.top.c").alias("top"), F.col("s.top.n").alias("n_top"))
         rest = checkpoint(member.join(once, "g"))
         if rest.isEmpty():
             return comp
         if bits is None:  # later rounds need no other documents
             wide = rest.select(F.col("a").alias("_need")).distinct()
             bits = checkpoint(texts.join(wide, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary").distinct())
-        # A group of s documents in about sqrt(s) / 4 blocks: each document goes to as many pairs of blocks.
-        count = F.ceil(F.sqrt("size") / 4).cast("int")
-        block = F.pmod(F.xxhash64("a", "g"), count).cast("int")
-        dealt = rest.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "a", "c")
-        dealt = dealt.join(bits, F.col("a") == F.col("_id")).select("g", "i", "j", "side", "a", "n", "c", "bits").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
-        found = checkpoint(dealt.mapInPandas(_pruner(shape, width), "a long, b long"))
-        pairs = found.where("a is not null").distinct()
-        more = not found.where("a is null").isEmpty()
-        new = checkpoint(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        rest = checkpoint(rest.join(bits, F.col("a") == F.col("_id")).drop("_id"))
+        found = checkpoint(_in_blocks(rest, shape, width, n))
+        new, more = found.where("a is not null").distinct(), not found.where("a is null").isEmpty()
+        new = checkpoint(new.join(tested, ["a", "b"], "left_anti") if tested is not None else new)
         tested = new if tested is None else tested.unionByName(new)
         links = verified(new, texts, shape)
         comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
@@ -450,7 +464,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     # A copy stands for the smallest of its texts, so that equal texts are verified once; not where an id has other texts too.
     texts_of = known.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("copy").alias("x"), F.max("copy").alias("y")).where("x = y").select(F.col("doc_id").alias("a"))
     low = copies.join(texts_of, "a").select("a", F.col("b").alias("low"))
-    met = met.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b", "g").join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("b"), "g")
+    met = met.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b", "g")
+    met = met.withColumn("_id", F.coalesce("b", "a")).join(low.withColumnRenamed("a", "_id"), "_id", "left")  # rows of groups have no b and would all meet
+    met = met.select("a", F.when(F.col("b").isNotNull(), F.coalesce("low", "b")).alias("b"), "g")
     met = checkpoint(met.where("g is not null or a <> b").select(F.when(F.col("g").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("g").isNull(), F.greatest("a", "b")).alias("b"), "g").distinct())
     pairs = met.where("g is null").select("a", "b")
     # Only texts of documents that met others move again.
