@@ -135,6 +135,41 @@ def test_jaccard_join(spark, words, percent, small):
     assert kept == {i for i in range(len(sets)) if comp[i] == i} | {None}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard_group_without_centre(spark, seed):
+    """A large group of near copies whose smallest member is similar to none of them, and a chain."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:160] + [f"u{i}" for i in range(40)])]
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"v{r.randrange(9)}"
+        texts.append(" ".join(w))
+    w = list(base)
+    for i in range(80):
+        w[(i * 7) % 200] = f"z{i}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(3, "another text of a known document, which links by any of its texts"), (900, "another text of a known document, which links by any of its texts")]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(198)} for t in texts]
+    comp = graph_components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])])
+    assert got == dict(enumerate(comp)) | {900: comp[3]}
+
+
+def test_decontamination_alike_at_every_block_size(spark):
+    words = lambda *n: " ".join(f"w{i}" for i in n)
+    items = spark.createDataFrame([("a", words(*range(12))), ("b", words(20, 21)), ("c", words(*range(30, 45))), (None, words(5, 6, 7)), ("e", "")], "item_id string, text string")
+    rows = [(1, "x " + words(*range(11)) + " y " + words(20, 21) + " z" * 40, 7, "t"), (1, "delta other text", 8, None), (None, words(20, 21) + " q" * 9, 9, "u"), (2, None, 1, ""), (3, words(*range(30, 44)), 2, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, found string")
+    every = []
+    for block_words, most in ((1, 1), (1, 1 << 20), (30, 100), (100_000, 1 << 20)):
+        found = decontam.digest(decontam.decontaminate(docs, items, block_words=block_words, broadcast_bytes=most)).collect()
+        every.append((sorted(map(str, found)), sorted(map(str, decontam.clean(docs, items, block_words=block_words, broadcast_bytes=most).collect()))))
+    assert all(x == every[0] for x in every)
+    assert sorted((r["doc_id"] or -1, r["n_hit"]) for r in found) == [(-1, 2), (1, 0), (1, 13), (2, 0), (3, 14)]
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(12)] + ["É1", "ß"]
