@@ -12,9 +12,7 @@ likely tokens are the offending spans.
 
 from __future__ import annotations
 
-import functools
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,9 +36,8 @@ def tokens(text: str) -> list[str]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass").split()
 
 
-@functools.lru_cache(200_000)
 def features(word: str) -> list[str]:
-    """The word and its affixes; remembered, not to be changed."""
+    """The word and its affixes."""
     n = len(word)
     return [word, *(f"{word[:k]}*" for k in range(3, 9) if k < n), *(f"*{word[-k:]}" for k in (4, 5) if k < n)]
 
@@ -151,14 +148,42 @@ def summary(p: np.ndarray) -> tuple[float, ...]:
     return np.log(s + 0.05), np.log((s + 0.05) / (len(p) + 20)), np.log1p(float((p > 0.9).sum())), np.log(top + 1e-4) - np.log(1 - top + 1e-4)
 
 
+class Sample:
+    """A labelled sample as numbers: words of each text, and each word's features, in the order of their first use."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        index: dict[str, int] = {}
+        self.texts: list[tuple[np.ndarray, int]] = []
+        for text, y in dict.fromkeys(rows):  # equal texts teach once
+            ids = np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int32)
+            if len(ids):
+                self.texts.append((ids, y))
+        names: dict[str, int] = {}
+        per = [[names.setdefault(f, len(names)) for f in features(w)] for w in index]
+        self.n_words, self.names = len(index), list(names)
+        self.size = np.array([len(x) for x in per], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.feature = np.array([f for x in per for f in x], np.int32)
+
+    def document_frequency(self, texts: list[np.ndarray]) -> np.ndarray:
+        """In how many of the texts each feature is."""
+        out = np.zeros(len(self.names), np.int64)
+        for ids in texts:
+            w = np.unique(ids)
+            n = self.size[w]
+            at = np.repeat(self.begin[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[np.unique(self.feature[at])] += 1
+        return out
+
+
 def fit(rows: list[tuple[str, int]], chain: int = 256, epochs: int = 24, rounds: int = 2) -> Model:
     """Fit to labelled texts, all of each: long ones are cut into chains of ``chain`` tokens while learning.
 
     Two thirds teach the field, all the calibration, those the field has not seen thrice.
     The weights climb the chains' log likelihood by its exact gradient.
     """
-    known = [(tokens(text), y) for text, y in dict.fromkeys(rows)]  # equal texts teach once
-    docs = [x for x in known if x[0]]
+    sample = Sample(rows)
+    docs = list(sample.texts)
     random.Random(7).shuffle(docs)
     rest = docs[: len(docs) // 3]
     if len(rest) > 20:
@@ -170,29 +195,24 @@ def fit(rows: list[tuple[str, int]], chain: int = 256, epochs: int = 24, rounds:
         return model
     n_bad, n_good = y.sum(), (1 - y).sum()
     # Features by how many documents of each class they are in.
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, k in docs:
-        count[k].update({f for w in set(words) for f in features(w)})
-    need = max(2, round(0.004 * n_bad))
-    lift = {f: np.log((c + 0.5) / (n_bad + 1)) - np.log((count[0][f] + 1.0) / (n_good + 2)) for f, c in count[1].items() if c >= need}
-    vocab = {f: i for i, f in enumerate(sorted(f for f in lift if lift[f] > 0.7))}
+    clean, toxic = (sample.document_frequency([d for d, k in docs if k == c]) for c in (0, 1))
+    lift = np.where(toxic >= max(2, round(0.004 * n_bad)), np.log((toxic + 0.5) / (n_bad + 1)) - np.log((clean + 1.0) / (n_good + 2)), -9.0)
     # Frequent words of clean documents learn that they are clean; the rest has no weight of its own.
-    for f, c in count[0].most_common(20_000):
-        if f not in vocab and c >= 0.01 * n_good and "*" not in f:
-            vocab[f] = len(vocab)
-    words = sorted({w for d, _ in docs for w in d})
-    index = {w: i for i, w in enumerate(words)}
-    feats = [[vocab[f] for f in features(w) if f in vocab] for w in words]
-    row = np.repeat(np.arange(len(words)), [len(f) for f in feats])
-    col = np.array([f for fs in feats for f in fs], np.int64)
-    seed = np.array([max([lift[f] for f in features(w) if f in lift], default=-9.0) for w in words])
+    plain = np.array([f[0] != "*" and f[-1] != "*" for f in sample.names])
+    often = np.where(plain & (clean >= 0.01 * n_good), clean, 0)
+    chosen = (lift > 0.7) | ((often > 0) & (often >= np.sort(often)[-min(len(often), 20_000)]))
+    number = np.cumsum(chosen) - 1
+    vocab = {f: int(number[i]) for i, f in enumerate(sample.names) if chosen[i]}
+    words = range(sample.n_words)
+    used = chosen[sample.feature]
+    row, col = np.repeat(np.arange(sample.n_words), sample.size)[used], number[sample.feature[used]]
+    seed = np.maximum.reduceat(lift[sample.feature], sample.begin)
     chains, owner = [], []
-    for i, (d, _) in enumerate(docs):
-        ids = np.array([index[w] for w in d])
+    for i, (ids, _) in enumerate(docs):
         chains += [ids[k : k + chain] for k in range(0, len(ids), chain)]
         owner += [i] * -(-len(ids) // chain)
     of = np.array(owner)
-    groups = [(np.array(g), x.astype(np.int64), ln) for g, x, ln in padded(chains, 1 << 19)]
+    groups = [(np.array(g), x.astype(np.int64), ln) for g, x, ln in padded(chains, 1 << 18)]
     theta = np.zeros(len(vocab))
     model = Model({}, bias=-4.0)
     bias, trans = model.bias, model.trans.copy()
@@ -238,9 +258,17 @@ def fit(rows: list[tuple[str, int]], chain: int = 256, epochs: int = 24, rounds:
             trans -= trans[0, 0]
     model.bias, model.trans = float(bias), trans
     model.weights = {f: float(theta[i]) for f, i in vocab.items() if abs(theta[i]) > 1e-4}
-    docs += rest * 3
-    x = model.document(model.marginals([d for d, _ in docs]))
-    model.calibration = logistic(x, np.array([k for _, k in docs], float), ridge=0.5)
+    emission = bias + np.bincount(row, theta[col], len(words)) if len(col) else np.full(len(words), bias)
+    summaries: list = [None] * len(sample.texts)
+    for g, x, ln in padded([d for d, _ in docs + rest] if len(rest) > 20 else [d for d, _ in docs], 1 << 18):
+        p = 1 / (1 + np.exp(-odds(emission[x], ln, trans)))
+        for k, i in enumerate(g):
+            summaries[i] = summary(p[: ln[k], k])
+    labels = [k for _, k in docs]
+    x = summaries[: len(docs)]
+    if len(rest) > 20:
+        x, labels = x + summaries[len(docs) :] * 3, labels + [k for _, k in rest] * 3
+    model.calibration = logistic(np.array(x), np.array(labels, float), ridge=0.5)
     model.cache.clear()
     return model
 
