@@ -272,19 +272,24 @@ def local_metric(y: np.ndarray, p: np.ndarray, metric: str) -> float:
     raise ValueError(f"metric {metric} is not for runs")
 
 
+def models_of(ensemble: DataFrame, most: int = 256 << 20) -> list[tuple[int, float, list[int], bytes]]:
+    """run, weight, features and model of the runs of positive weight; refuses more than ``most`` bytes of models."""
+    live = ensemble.where("weight > 0").select("run", "weight", "features", "model")
+    size = live.agg(F.sum(F.length("model"))).first()[0] or 0
+    if size > most:
+        raise ValueError("the ensemble is too large to broadcast; predict it in parts of runs")
+    return [(r["run"], r["weight"], list(r["features"]), bytes(r["model"])) for r in live.orderBy("run").collect()]
+
+
 def run_predictions(rows: DataFrame, ensemble: DataFrame, n_classes: int, method: str = "softmax") -> DataFrame:
     """run, id, pred, prob (of class 1), probs for each row and each run of positive weight.
 
     The ensemble goes to the rows: models are broadcast after their size is checked.
     """
-    live = ensemble.where("weight > 0").select("run", "features", "model")
-    size = live.agg(F.sum(F.length("model")).alias("b")).first()["b"] or 0
-    if size > 256 << 20:
-        raise ValueError("the ensemble is too large to broadcast; predict it in parts of runs")
-    models = rows.sparkSession.sparkContext.broadcast([(r["run"], list(r["features"]), bytes(r["model"])) for r in live.collect()])
+    models = rows.sparkSession.sparkContext.broadcast(models_of(ensemble))
 
     def run(batches):
-        known = [(k, f, Booster.load(raw)) for k, f, raw in models.value if raw]
+        known = [(k, f, Booster.load(raw)) for k, _, f, raw in models.value if raw]
         for pdf in batches:
             if not len(pdf):
                 continue

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmap.functions import arrays, bands
-from cairnmap.operators import boosting, focal, glcm, lookup, metrics, sampling, selection, votes
+from cairnmap.operators import boosting, focal, glcm, lookup, mapping, metrics, sampling, selection, votes
 from cairnmap.sources import geotiff, tables
+from cairnmap.sources.scratch import scratch
 
 from . import views
 from .views import sql
@@ -69,44 +70,47 @@ _KERNEL = ", ".join(f"({dy}, {dx}, {w!r})" for (dy, dx), w in focal.disk_kernel(
 _GAUSS = ", ".join(f"({k}, {w!r})" for k, w in focal.gaussian_kernel(25, 3.5).items())
 
 
-@query("W10_W13_disk_filter", sql(f"with k(dy, dx, w) as (values {_KERNEL}) select a.row, a.col, round(sum(b.v * w), 6) as v from v_patch a join k on true join v_raster b on b.row = a.row + dy and b.col = a.col + dx group by a.row, a.col", "v_patch"))
+@query("W10_W13_disk_filter", sql(f"with k(dy, dx, w) as (values {_KERNEL}) select a.row, a.col, round(sum(b.v * w), 6) as v from v_raster a join k on true join v_raster b on b.row = a.row + dy and b.col = a.col + dx group by a.row, a.col", "v_raster"))
 def disk(spark, d):
-    return disk_whole(spark, d).where("row < 40 and col < 40")
-
-
-@query("W10_W13_disk_filter_whole")
-def disk_whole(spark, d):
     return rounded(focal.disk_filter(views.raster(spark, d), 5))
 
 
 @query("W8_gaussian_filter", sql(f"""with k(o, w) as (values {_GAUSS}), a as (select x.row, x.col, sum(b.v * w) as v from v_raster x join k on true join v_raster b on b.row = x.row and b.col = x.col + o group by x.row, x.col)
-select p.row, p.col, round(sum(a.v * w), 6) as v from v_patch p join k on true join a on a.row = p.row + o and a.col = p.col group by p.row, p.col""", "v_patch"))
+select p.row, p.col, round(sum(a.v * w), 6) as v from v_raster p join k on true join a on a.row = p.row + o and a.col = p.col group by p.row, p.col""", "v_raster"))
 def gauss(spark, d):
-    return gauss_whole(spark, d).where("row < 40 and col < 40")
-
-
-@query("W8_gaussian_filter_whole")
-def gauss_whole(spark, d):
     return rounded(focal.gaussian_filter(views.raster(spark, d)))
 
 
 @query("W7_median_filter", sql("""with o as (select i - 2 as dy, j - 2 as dx from range(0, 5) a(i), range(0, 5) b(j))
-select p.row, p.col, round(median(coalesce(b.v, 0)), 6) as v from v_patch p join o on true left join v_raster b on b.row = p.row + dy and b.col = p.col + dx group by p.row, p.col""", "v_patch"))
+select p.row, p.col, round(median(coalesce(b.v, 0)), 6) as v from v_raster p join o on true left join v_raster b on b.row = p.row + dy and b.col = p.col + dx group by p.row, p.col""", "v_raster"))
 def median(spark, d):
-    return median_whole(spark, d).where("row < 40 and col < 40")
+    return rounded(focal.median_filter(views.raster(spark, d), 5))
 
 
-@query("W7_median_filter_whole")
-def median_whole(spark, d):
-    return rounded(focal.median_filter(views.raster(spark, d), 5))
+def _step(name: str, source: str, kind: str, size: float) -> str:
+    """One filter of a chain in SQL, as common table expressions; absent cells read as 0."""
+    if kind == "median":
+        r = (int(size) - 1) // 2
+        return f"""{name} as materialized (select p.row, p.col, median(coalesce(b.v, 0)) as v from {source} p, range({-r}, {r + 1}) y(dy), range({-r}, {r + 1}) x(dx)
+  left join {source} b on b.row = p.row + dy and b.col = p.col + dx group by p.row, p.col)"""
+    if kind == "disk":
+        cells = ", ".join(f"({dy}, {dx}, {w!r})" for (dy, dx), w in focal.disk_kernel(int(size)).items())
+        return f"{name} as materialized (select a.row, a.col, sum(b.v * w) as v from {source} a join (values {cells}) k(dy, dx, w) on true join {source} b on b.row = a.row + dy and b.col = a.col + dx group by a.row, a.col)"
+    taps = ", ".join(f"({k}, {w!r})" for k, w in focal.gaussian_kernel(25, size).items())
+    return f"""{name}x as materialized (select x.row, x.col, sum(b.v * w) as v from {source} x join (values {taps}) k(o, w) on true join {source} b on b.row = x.row and b.col = x.col + o group by x.row, x.col),
+{name} as materialized (select x.row, x.col, sum(b.v * w) as v from {name}x x join (values {taps}) k(o, w) on true join {name}x b on b.row = x.row + o and b.col = x.col group by x.row, x.col)"""
+
 
+_LONG = ", ".join([_step("s1", "v_raster", "median", 11), _step("s2", "s1", "gauss", 3.5), _step("s3", "s2", "median", 5), _step("s4", "s3", "disk", 5)])
+_SHORT = ", ".join([_step("s1", "v_raster", "median", 15), _step("s2", "s1", "disk", 5)])
 
-@query("W11_smooth_long")
+
+@query("W11_smooth_long", sql(f"with {_LONG} select row, col, round(v, 6) as v from s4", "v_raster"))
 def smooth_long(spark, d):
     return rounded(focal.smooth_long(views.raster(spark, d)))
 
 
-@query("W12_smooth_short")
+@query("W12_smooth_short", sql(f"with {_SHORT} select row, col, round(v, 6) as v from s2", "v_raster"))
 def smooth_short(spark, d):
     return rounded(focal.smooth_short(views.raster(spark, d)))
 
@@ -120,13 +124,8 @@ def resample(spark, d):
 
 
 @query("L23_P7_distance", sql("""with s as (select row, col from v_raster where v > 0.35)
-select r.row, r.col, round(0.2::double * min(sqrt((r.row - s.row) * (r.row - s.row) + (r.col - s.col) * (r.col - s.col))), 6) as dist from v_raster r join s on true where r.row < 40 group by r.row, r.col""", "v_raster"))
+select r.row, r.col, round(0.2::double * min(sqrt((r.row - s.row) * (r.row - s.row) + (r.col - s.col) * (r.col - s.col))), 6) as dist from v_raster r join s on true group by r.row, r.col""", "v_raster"))
 def distance(spark, d):
-    return distance_whole(spark, d).where("row < 40")
-
-
-@query("L23_P7_distance_whole")
-def distance_whole(spark, d):
     r = views.raster(spark, d)
     return rounded(focal.nearest_distance(r.withColumn("v", (F.col("v") > 0.35).cast("double")), 0.2))
 
@@ -151,52 +150,55 @@ def nodata(spark, d):
 THRESHOLDS = [round(-0.3 + 0.02 * k, 2) for k in range(31)]
 _LEVEL = "(" + " + ".join(f"(v > {t!r}::double)::integer" for t in THRESHOLDS) + ")"
 _DIRS = "(0, 0, 1), (1, -1, 1), (2, 1, 0), (3, 1, 1)"
-_TEXTURE = f"""
-with box as (select i as row, j as col from range(-4, 24) a(i), range(-4, 24) b(j)),
-small as (select row, col, v from v_raster where row < 20 and col < 20),
-c as (select box.row, box.col, coalesce(v, 0) as v from box left join small using (row, col)),
-q as (select row, col, {_LEVEL} as q from c),
+#: Windows in sliding form: each pair of neighbours is counted for the 9 x 9 windows around it; matrices are symmetric, so half of each is kept.
+_PAIRS = f"""
+with small as materialized (select row, col, v from v_raster),
+box as (select i as row, j as col from (select max(row) as nr, max(col) as nc from small), range(-4, 100000) a(i), range(-4, 1000) b(j) where i <= nr + 4 and j <= nc + 4),
+q as materialized (select box.row, box.col, {_LEVEL} as q from (select box.row, box.col, coalesce(v, 0) as v from box left join small using (row, col)) box),
 dirs(d, dy, dx) as (values {_DIRS}),
-pr as (select d, dy, dx, a.row, a.col, a.q as i, b.q as j from dirs join q a on true join q b on b.row = a.row + dy and b.col = a.col + dx),
-ctr as (select row, col from small where v <> 0),
-w as (select d, ctr.row, ctr.col, i, j from ctr join pr on pr.row between ctr.row - 4 and ctr.row + 4 and pr.col between ctr.col - 4 and ctr.col + 4 and pr.row + dy between ctr.row - 4 and ctr.row + 4 and pr.col + dx between ctr.col - 4 and ctr.col + 4),
-n as (select d, row, col, i, j, count(*) as n from (select d, row, col, i, j from w union all select d, row, col, j, i from w) group by all),
-p as (select *, n / sum(n) over (partition by d, row, col) as p from n),
-k as (select row, col, sum(k * p) as sum_average, -sum(p * ln(p + 1e-8::double)) as sum_entropy from (select d, row, col, i + j + 2 as k, sum(p) as p from p group by all) group by row, col),
-m as (select row, col, sum(p * p) as asm, sum((i - j) * (i - j) * p) as contrast, sum(p / (1 + (i - j) * (i - j))) as idm, -sum(p * ln(p + 1e-8::double)) as entropy from p group by row, col)
+pr as materialized (select d, dy, dx, a.row, a.col, a.q as i, b.q as j from dirs join q a on true join q b on b.row = a.row + dy and b.col = a.col + dx),
+ctr as (select row + oy as y, col + ox as x, row, col, oy, ox from small, range(-4, 5) a(oy), range(-4, 5) b(ox) where v <> 0),
+w as (select d, ctr.row, ctr.col, i, j, 1 / (2.0::double * (9 - abs(dy)) * (9 - abs(dx))) as p from ctr join pr on pr.row = y and pr.col = x where oy + dy between -4 and 4 and ox + dx between -4 and 4),
+e as (select row, col, d, least(i, j) as i, greatest(i, j) as j, sum(p) as p from w group by all),
+p as materialized (select row, col, d, i, j, case when i = j then 2 * p else p end as p, case when i = j then 1 else 2 end as n from e)"""
+_TEXTURE = _PAIRS + """,
+k as (select row, col, sum(k * p) as sum_average, -sum(p * ln(p + 1e-8::double)) as sum_entropy from (select d, row, col, i + j + 2 as k, sum(n * p) as p from p group by all) group by row, col),
+m as (select row, col, sum(n * p * p) as asm, sum(n * (i - j) * (i - j) * p) as contrast, sum(n * p / (1 + (i - j) * (i - j))) as idm, -sum(n * p * ln(p + 1e-8::double)) as entropy from p group by row, col)
 select row::bigint as row, col::integer as col, round(asm, 6) as asm, round(contrast, 6) as contrast, round(idm, 6) as idm, round(sum_average, 6) as sum_average, round(sum_entropy, 6) as sum_entropy, round(entropy, 6) as entropy from m join k using (row, col)"""
-
-
-def _small(spark, d):
-    return views.patch(spark, d, 20, 20)  # a map extent: the relational form replicates pairs to every window
-
-
-def _by_tile(r: DataFrame) -> DataFrame:
-    return rounded(glcm.textures(r, THRESHOLDS).where("asm > 0").select("row", "col", "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
-
-
-def _by_joins(r: DataFrame) -> DataFrame:
-    return rounded(glcm.textures_relational(r, THRESHOLDS).select(F.col("row").cast("long"), F.col("col").cast("int"), "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
+#: The measures made of marginals, in the reference mode: means and deviations of the marginal vector, doubled diagonal.
+_MARGINAL = _PAIRS + """,
+x as materialized (select row, col, d, l, sum(p) as x from (select row, col, d, i as l, p from p union all select row, col, d, j, p from p where i <> j) group by all),
+xs as (select row, col, d, sum(x) as total, sum(x * x) as squares, 32 * sum(x * l) as mu, -sum(x * ln(x + 1e-8::double)) as hx from x group by all),
+var as (select row, col, d, sum(x * (l - mu) * (l - mu)) as variance from x join xs using (row, col, d) group by all),
+c as (select row, col, d, sum(n * p * i * j) as cross_sum, -sum(n * p * ln(p + 1e-8::double)) as entropy from p group by all),
+k as (select row, col, d, i + j + 2 as k, sum(n * p) as s from p group by all),
+ke as (select row, col, d, -sum(s * ln(s + 1e-8::double)) as centre from k group by all),
+sv as (select row, col, d, sum(s * (k - centre) * (k - centre)) as sum_variance from k join ke using (row, col, d) group by all),
+g as (select row, col, d, j - i as g, sum(n * p) * case when i = j then 2 else 1 end as s from p group by row, col, d, j - i, case when i = j then 2 else 1 end),
+gv as (select row, col, d, sum(s * s) / 32 - (sum(s) / 32) * (sum(s) / 32) as diff_variance, -sum(s * ln(s + 1e-8::double)) as diff_entropy from g group by all),
+h1 as (select p.row, p.col, p.d, -sum(n * p * ln(a.x * b.x + 1e-8::double)) as hxy1 from p join x a on a.row = p.row and a.col = p.col and a.d = p.d and a.l = p.i join x b on b.row = p.row and b.col = p.col and b.d = p.d and b.l = p.j group by p.row, p.col, p.d),
+h2 as (select a.row, a.col, a.d, -sum(a.x * b.x * ln(a.x * b.x + 1e-8::double)) as hxy2 from x a join x b using (row, col, d) group by a.row, a.col, a.d),
+t as (select row, col, (cross_sum - 1 / 1024.0::double * total * total) / (squares / 32 - (total / 32) * (total / 32)) as correlation, variance, sum_variance, diff_variance, diff_entropy, (entropy - hxy1) / hx as imc1, sqrt(greatest(0, 1 - exp(-2 * (hxy2 - entropy)))) as imc2
+  from xs join var using (row, col, d) join c using (row, col, d) join sv using (row, col, d) join gv using (row, col, d) join h1 using (row, col, d) join h2 using (row, col, d))
+select row::bigint as row, col::integer as col, round(sum(correlation), 4) as correlation, round(sum(variance), 1) as variance, round(sum(sum_variance), 4) as sum_variance, round(sum(diff_variance), 6) as diff_variance, round(sum(diff_entropy), 6) as diff_entropy,
+  round(sum(imc1), 6) as imc1, round(sum(imc2), 6) as imc2 from t group by row, col"""
 
 
 @query("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures", sql(_TEXTURE, "v_raster"))
 def textures_tile(spark, d):
-    return _by_tile(_small(spark, d))
+    return rounded(glcm.textures(views.raster(spark, d), THRESHOLDS).where("asm > 0").select("row", "col", "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
 
 
-@query("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures_whole")
-def textures_tile_whole(spark, d):
-    return _by_tile(views.raster(spark, d))
+@query("G3_G4_G7_G10_G11_G12_G13_textures", sql(_MARGINAL, "v_raster"))
+def textures_marginal(spark, d):
+    t = glcm.textures(views.raster(spark, d), THRESHOLDS).where("asm > 0")
+    names = dict(zip(["correlation", "variance", "sum_variance", "diff_variance", "diff_entropy", "imc1", "imc2"], (glcm.MEASURES[i] for i in (2, 3, 6, 9, 10, 11, 12)), strict=True))
+    return t.select("row", "col", *[F.round(c, {"correlation": 4, "variance": 1, "sum_variance": 4}.get(k, 6)).alias(k) for k, c in names.items()])
 
 
 @query("J11_textures_relational", sql(_TEXTURE, "v_raster"))
 def textures_join(spark, d):
-    return _by_joins(_small(spark, d))
-
-
-@query("J11_textures_relational_whole")
-def textures_join_whole(spark, d):
-    return _by_joins(views.raster(spark, d))
+    return rounded(glcm.textures_relational(views.raster(spark, d), THRESHOLDS).select(F.col("row").cast("long"), F.col("col").cast("int"), "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"))
 
 
 @query("G1_to_G13_textures_all")
@@ -245,7 +247,32 @@ def colour_ycbcr(spark, d):
     return rounded(bands.colour(views.bands(spark, d), (4, 3, 2), "ycbcr"))
 
 
-@query("C4_to_C8_lab_xyz_yiq_yuv_lch")
+_MIX = {
+    "yiq": ((0.299, 0.587, 0.114), (0.595716, -0.274453, -0.321263), (0.211456, -0.522591, 0.311135)),
+    "yuv": ((0.299, 0.587, 0.114), (-0.14713, -0.28886, 0.436), (0.615, -0.51499, -0.10001)),
+}
+_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+
+
+def _mixed(row: tuple[float, ...], names: tuple[str, ...] = ("r", "g", "b")) -> str:
+    return "(" + " + ".join(f"{w!r}::double * {n}" for w, n in zip(row, names, strict=True)) + ")"
+
+
+def _channels(space: str, source: str, one: str, two: str, three: str) -> str:
+    return f"select '{space}' as space, pixel, round(case when not live then 0 else {one} end, 6) as c1, round({two}, 6) as c2, round({three}, 6) as c3 from {source}"
+
+
+_LINEAR = ", ".join(f"case when greatest({n} / 255, 0) <= 0.04045::double then greatest({n} / 255, 0) / 12.92::double else pow((greatest({n} / 255, 0) + 0.055::double) / 1.055::double, 2.4::double) end as l{n}" for n in "rgb")
+_WHITE = (0.95047, 1.0, 1.08883)
+_CURVE = ", ".join(f"case when {c} / {w!r}::double > 216 / 24389.0::double then cbrt({c} / {w!r}::double) else (24389 / 27.0::double * ({c} / {w!r}::double) + 16) / 116 end as f{c}" for c, w in zip("xyz", _WHITE, strict=True))
+_SPACES = (
+    f", li as (select *, {_LINEAR} from c), xz as (select *, " + ", ".join(f"{_mixed(row, ('lr', 'lg', 'lb'))} as {n}" for n, row in zip("xyz", _XYZ, strict=True)) + f" from li), cu as (select *, {_CURVE} from xz), "
+    "la as (select pixel, live, 116 * fy - 16 as light, 500 * (fx - fy) as aa, 200 * (fy - fz) as bb from cu), hu as (select *, degrees(atan2(bb, aa)) as h from la) "
+    + " union all ".join([_channels(k, "c", *map(_mixed, rows)) for k, rows in _MIX.items()] + [_channels("xyz", "xz", "x", "y", "z"), _channels("lab", "la", "light", "aa", "bb"), _channels("lch", "hu", "light", "sqrt(aa * aa + bb * bb)", "case when h < 0 then h + 360 else h end")])
+)
+
+
+@query("C4_to_C8_lab_xyz_yiq_yuv_lch", sql(_RGB + _SPACES, "v_bands"))
 def colour_rest(spark, d):
     px = views.bands(spark, d)
     out = None
@@ -255,7 +282,28 @@ def colour_rest(spark, d):
     return out
 
 
-@query("C10_colour_features")
+def _all_triples() -> str:
+    """All triples in both spaces: 48 columns."""
+    ends, cols = {}, []
+    for t in bands.TRIPLES:
+        tag, c = "".join(map(str, t)), []
+        for i in t:
+            lo, hi = f"lo_{t[0]}_{i}", f"hi_{t[0]}_{i}"
+            ends |= {lo: f"min(case when b{t[0]} <> 0 then b{i} end) as {lo}", hi: f"max(case when b{t[0]} <> 0 then b{i} end) as {hi}"}
+            c.append(f"(255 * (b{i} - {lo}) / ({hi} - {lo}))")
+        r, g, b = c
+        top, low = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+        gap = f"({top} - {low})"
+        h = f"(case when {gap} = 0 then 0 when {top} = {r} then ({g} - {b}) / {gap} when {top} = {g} then 2 + ({b} - {r}) / {gap} else 4 + ({r} - {g}) / {gap} end / 6)"
+        dead = f"b{t[0]} = 0"
+        cols += [f"case when {dead} then 0 when {h} < 0 then {h} + 1 else {h} end as hsv_{tag}_1", f"case when {top} = 0 then 0 else {gap} / {top} end as hsv_{tag}_2", f"{top} as hsv_{tag}_3"]
+        cols += [f"case when {dead} then 0 else 16 + (65.481::double * {r} + 128.553::double * {g} + 24.966::double * {b}) / 255 end as ycbcr_{tag}_1"]
+        cols += [f"128 + (-37.797::double * {r} - 74.203::double * {g} + 112 * {b}) / 255 as ycbcr_{tag}_2", f"128 + (112 * {r} - 93.786::double * {g} - 18.214::double * {b}) / 255 as ycbcr_{tag}_3"]
+    named = [c.rsplit(" as ", 1) for c in cols]
+    return f"with e as (select {', '.join(ends.values())} from v_bands) select pixel, {', '.join(f'round({x}, 6) as {n}' for x, n in named)} from v_bands, e"
+
+
+@query("C10_colour_features", sql(_all_triples(), "v_bands"))
 def colour_all(spark, d):
     return rounded(bands.colour_features(views.bands(spark, d)))
 
@@ -290,18 +338,9 @@ def in_list(spark, d):
     return views.names(spark, d).select("id", lookup.in_list(F.col("name"), ["BUILDING", "MACHINERY"]).alias("hit"))
 
 
-@query("P4_P5_U2_U6_drop_ids", sql("select id, name from v_names where name = 'BUILDING' and id not in (select o_custkey from orders where o_orderkey < 2000)", "v_names"))
+@query("P4_P5_U2_U6_drop_ids", sql("select id, name from v_names where name = 'BUILDING' and id not in (select o_custkey from orders where o_totalprice > 300000)", "v_names"))
 def drop_ids(spark, d):
-    return _without_orders(spark, d, views.table(spark, d, "orders").where("o_orderkey < 2000"))
-
-
-@query("P4_P5_U2_U6_drop_ids_whole")
-def drop_ids_whole(spark, d):
-    return _without_orders(spark, d, views.table(spark, d, "orders"))
-
-
-def _without_orders(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
-    return lookup.drop_ids(views.names(spark, d).where("name = 'BUILDING'"), orders.select(F.col("o_custkey").cast("long").alias("id")))
+    return lookup.drop_ids(views.names(spark, d).where("name = 'BUILDING'"), views.table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").cast("long").alias("id")))
 
 
 @query("J4_T7_U1_hierarchy", sql("select upper, string_agg(lower::varchar, ',' order by pos) as lowers from v_hier group by upper", "v_hier"))
@@ -340,10 +379,10 @@ def rows_of_parent(spark, d):
     return views.base_map(spark, d).join(views.hierarchy(spark, d).where("upper = 2").select("lower"), "lower", "left_semi").select("id", "lower")
 
 
-@query("S4_J3_F3_stack", sql("select vec_id::bigint as row, " + ", ".join(f"round(embedding[{i + 1}]::double, 3) as c{i}" for i in range(4)) + " from embeddings"))
+@query("S4_J3_F3_stack", sql("select vec_id::bigint as row, " + ", ".join(f"round(embedding[{i + 1}]::double, 3) as c{i}" for i in range(64)) + " from embeddings"))
 def stacked(spark, d):
-    r = views.raster(spark, d).where("col < 4").select(F.concat(F.lit("c"), F.col("col")).alias("band"), "row", F.lit(0).alias("col"), "v")
-    return lookup.stack(r, [f"c{i}" for i in range(4)]).drop("col")
+    r = views.raster(spark, d).select(F.concat(F.lit("c"), F.col("col")).alias("band"), "row", F.lit(0).alias("col"), "v")
+    return lookup.stack(r, [f"c{i}" for i in range(64)]).drop("col")
 
 
 @query("S7_mosaic", sql("select row, col, v from v_raster", "v_raster"))
@@ -438,10 +477,10 @@ def auc(spark, d):
     return rounded(metrics.auc(views.pred(spark, d).select((F.col("y") >= 5).cast("int").alias("y"), "s")))
 
 
-@query("A12_raster_accuracy", sql("select round(avg(((a.v * 10)::integer = (b.v * 10)::integer)::integer::double), 6) as value from (select row, col, floor(v * 10) / 10 as v from v_raster) a join (select row, col, floor(v * 10) / 10 as v from v_raster where col < 60) b using (row, col)", "v_raster"))
+@query("A12_raster_accuracy", sql("select round(avg((floor(a.v * 10) = floor(b.v * 10))::integer::double), 6) as value from v_raster a join v_raster b on a.row = b.row and a.col = b.col + 1", "v_raster"))
 def raster_accuracy(spark, d):
     r = views.raster(spark, d).withColumn("v", F.floor(F.col("v") * 10))
-    return rounded(metrics.raster_evaluate(r, r.where("col < 60"), "accuracy"))
+    return rounded(metrics.raster_evaluate(r, r.withColumn("col", F.col("col") + 1), "accuracy"))  # the map against itself moved by a cell
 
 
 @query("A13_instance_weights", sql("select id, y, round((n0 - n) / n0 / (sum((n0 - n) / n0) over ()), 9) as w from (select id, y, count(*) over (partition by y)::double as n, count(*) over ()::double as n0 from v_pred)", "v_pred"))
@@ -561,19 +600,14 @@ def neighbours(spark, d):
 
 @query("M4_U4_U5_smote")
 def smote(spark, d):
-    s = views.samples(spark, d, 16).where("y > 2 or id % 4 = 0")
+    s = views.samples(spark, d).where("y > 2 or id % 4 = 0")
     return sampling.smote(s, 16).select("id", "y", "synthetic", F.round(F.element_at("x", 1), 6).alias("x0"))
 
 
 # Features
 
-@query("A22_correlation", sql("select a.f as i, b.f as j, round(corr(a.v, b.v), 6) as r from v_long a join v_long b on a.id = b.id and a.f < b.f where b.f < 16 group by a.f, b.f", "v_long"))
+@query("A22_correlation", sql("select a.f as i, b.f as j, round(corr(a.v, b.v), 6) as r from v_long a join v_long b on a.id = b.id and a.f < b.f group by a.f, b.f", "v_long"))
 def correlation(spark, d):
-    return rounded(selection.correlation_pairs(views.samples(spark, d, 16), 16))
-
-
-@query("A22_correlation_whole")
-def correlation_whole(spark, d):
     return rounded(selection.correlation_pairs(views.samples(spark, d), 64))
 
 
@@ -619,36 +653,36 @@ _P = boosting.Params(objective="softmax", n_classes=10, depth=3, rounds=12)
 
 @query("L1_L2_L4_L6_L11_ensemble")
 def ensemble(spark, d):
-    s = views.samples(spark, d, 16)
-    e = boosting.train_ensemble(s, 16, 4, _P, metric="accuracy")
+    s = views.samples(spark, d)
+    e = boosting.train_ensemble(s, 64, 4, _P, metric="accuracy")
     return rounded(metrics.report(boosting.predict_ensemble(s, e, 10).join(s.select("id", "y"), "id").select("y", F.col("pred").alias("p"))), 4)
 
 
 @query("L5_L7_L9_category_ensemble")
 def category(spark, d):
-    s = views.samples(spark, d, 8)
-    e = boosting.train_ensemble(s, 8, 2, boosting.Params(n_classes=10, depth=3, rounds=8), "category", "accuracy")
+    s = views.samples(spark, d)
+    e = boosting.train_ensemble(s, 64, 2, boosting.Params(n_classes=10, depth=3, rounds=8), "category", "accuracy")
     return rounded(metrics.report(boosting.predict_ensemble(s, e, 10, "category").join(s.select("id", "y"), "id").select("y", F.col("pred").alias("p"))), 4)
 
 
 @query("L3_L14_L15_binary_ensemble")
 def binary_ensemble(spark, d):
-    s = views.samples(spark, d, 16).withColumn("y", (F.col("y") >= 5).cast("int"))
-    e = boosting.train_ensemble(s, 16, 3, boosting.Params(depth=3, rounds=12), "binary", "accuracy")
+    s = views.samples(spark, d).withColumn("y", (F.col("y") >= 5).cast("int"))
+    e = boosting.train_ensemble(s, 64, 3, boosting.Params(depth=3, rounds=12), "binary", "accuracy")
     return rounded(boosting.predict_binary_ensemble(s, e), 4)
 
 
 @query("A24_K13_feature_scores")
 def scores(spark, d):
-    e = boosting.train_ensemble(views.samples(spark, d, 8), 8, 2, boosting.Params(objective="softmax", n_classes=10, depth=2, rounds=6), metric="accuracy", column_rate=1.0)
-    return boosting.feature_scores(e, [f"x{i}" for i in range(8)])
+    e = boosting.train_ensemble(views.samples(spark, d), 64, 2, boosting.Params(objective="softmax", n_classes=10, depth=2, rounds=6), metric="accuracy", column_rate=1.0)
+    return tables.importance(boosting.feature_scores(e, [f"x{i}" for i in range(64)]))
 
 
 @query("J7_hierarchical")
 def hierarchical(spark, d):
-    s = views.samples(spark, d, 8).withColumnRenamed("y", "lower").withColumn("upper", F.when(F.col("lower") == 9, 3).otherwise(F.floor(F.col("lower") / 3)).cast("int"))
+    s = views.samples(spark, d).withColumnRenamed("y", "lower").withColumn("upper", F.when(F.col("lower") == 9, 3).otherwise(F.floor(F.col("lower") / 3)).cast("int"))
     rel = s.select("upper", "lower").distinct()
-    return rounded(boosting.hierarchical(s, s.select("id", "upper", "x"), rel, 8, boosting.Params(objective="softmax", n_classes=3, depth=2, rounds=6), runs=2), 4)
+    return rounded(boosting.hierarchical(s, s.select("id", "upper", "x"), rel, 64, boosting.Params(objective="softmax", n_classes=3, depth=2, rounds=6), runs=2), 4)
 
 
 @query("L18_L19_A28_sweep")
@@ -661,3 +695,99 @@ def floating(spark, d):
     series, _ = selection.floating_selection(views.samples(spark, d, 5), [f"x{i}" for i in range(5)], boosting.Params(objective="softmax", n_classes=10, depth=2, rounds=3), max_iterations=4, every=3, k=3)
     return rounded(series, 4)
 
+
+# Maps
+
+#: Three runs of stumps over three classes: weight, variables, and for each class (place among these, cut, value below, value above).
+_RUNS = [
+    (0.5, [0, 1, 2], [(0, 0.01, -1.0, 1.0), (1, 0.05, -0.5, 1.5), (2, -0.02, 0.25, 0.0)]),
+    (0.3, [3, 4], [(0, 0.0, 0.5, -0.5), (1, 0.03, -1.0, 0.75), (0, 0.08, 0.125, 1.25)]),
+    (0.2, [5, 6, 0], [(0, -0.05, 0.0, 0.625), (1, 0.02, 0.375, 0.0), (2, 0.04, -0.25, 0.875)]),
+]
+_PARTS = [(0.6, [2, 5], [(0, 0.0, 0.5, -0.5), (1, 0.0, -0.125, 0.25)]), (0.4, [6, 1], [(1, 0.02, 0.75, 0.0), (0, -0.01, 0.0, 0.375)])]
+_BANDS = [f"b{i}" for i in range(1, 8)]
+_WIDTH = 10
+
+
+def _stumps(spark: SparkSession, runs: list) -> DataFrame:
+    """The runs as an ensemble table, models as they are saved."""
+    rows = []
+    for k, (weight, feats, cuts) in enumerate(runs):
+        model = boosting.Booster(boosting.Params(objective="softmax", n_classes=len(cuts)))
+        model.trees, model.weight = [[boosting.Tree([f, -1, -1], [cut, 0.0, 0.0], [1, -1, -1], [0.0, low, high]) for f, cut, low, high in cuts]], [1.0]
+        rows.append((k, 0.9, feats, model.dump(), weight))
+    return spark.createDataFrame(rows, "run int, e double, features array<int>, model binary, weight double")
+
+
+def _map_sql(runs: list, tag: str, least: float = 0.0) -> str:
+    """Votes of the same stumps in SQL: common table expressions that end in <tag>map."""
+    n, z = len(runs[0][2]), []
+    for k, (_, feats, cuts) in enumerate(runs):
+        z += [f"case when b{feats[f] + 1} > {cut!r}::double then {high!r}::double else {low!r}::double end as z{k}{c}" for c, (f, cut, low, high) in enumerate(cuts)]
+    won = lambda k, c: " and ".join([f"z{k}{c} > z{k}{o}" for o in range(c)] + [f"z{k}{c} >= z{k}{o}" for o in range(c + 1, n)])
+    share = [" + ".join(f"case when {won(k, c)} then {runs[k][0]!r}::double else 0 end" for k in range(len(runs))) for c in range(n)]
+    soft = [" + ".join(f"{runs[k][0]!r}::double * exp(z{k}{c}) / ({' + '.join(f'exp(z{k}{o})' for o in range(n))})" for k in range(len(runs))) for c in range(n)]
+    return f"""{tag}z as (select pixel, b1, {', '.join(z)} from v_bands),
+{tag}s as (select pixel, b1, [{', '.join(f'round({x}, 12)' for x in share)}] as s, [{', '.join(soft)}] as q from {tag}z),
+{tag}w as (select pixel, b1, list_position(s, list_max(s)) as k, list_max(s) as share, q, 1 - (list_max(s) - list_reverse_sort(s)[2]) as u from {tag}s),
+{tag}m as (select max(share) as top from {tag}w where b1 <> 0),
+{tag}map as (select (pixel // {_WIDTH})::bigint as row, (pixel % {_WIDTH})::integer as col, case when b1 = 0 or share < {least!r}::double * top then 0 else k end::integer as class,
+  round(case when b1 = 0 or share < {least!r}::double * top then 0 else share end, 6) as share, round(case when b1 = 0 then 0 else q[k] end, 6) as p, round(case when b1 = 0 then 0 else u end, 6) as u from {tag}w, {tag}m)"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels as a scene of ten columns."""
+    return views.bands(spark, d).select(F.floor(F.col("pixel") / _WIDTH).cast("long").alias("row"), (F.col("pixel") % _WIDTH).cast("int").alias("col"), *_BANDS)
+
+
+def _shown(cells: DataFrame) -> DataFrame:
+    return rounded(cells.select("row", "col", F.col("class").cast("int").alias("class"), "share", "p", "u"))
+
+
+@query("L8_L9_L10_L12_L13_L16_P11_map", sql(f"with {_map_sql(_RUNS, 'one_', 0.7)} select row, col, class, share, p, u from one_map", "v_bands"))
+def predicted_map(spark, d):
+    return _shown(mapping.class_map(_cells(spark, d), _BANDS, _stumps(spark, _RUNS), 3, _WIDTH, least_share=0.7))
+
+
+@query("S4_S5_S9_S10_K1_K2_K9_map_of_files", sql(f"with {_map_sql(_RUNS, 'one_')} select row, col, class, share, p, u from one_map", "v_bands"))
+def map_of_files(spark, d):
+    """Bands to GeoTIFF files, the ensemble to a table, both read again, the map written and read again."""
+    folder = scratch(spark, "scene")
+    bands_long = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in _BANDS])).alias("b")
+    geotiff.write(_cells(spark, d).select("row", "col", bands_long).select("b.band", "row", "col", "b.v"), f"{folder}/bands", geotiff.Georeference(10, 45, 0.5, -0.5), "Float64")
+    tables.save_ensemble(_stumps(spark, _RUNS), f"{folder}/ensemble")
+    got = mapping.map_files(spark, f"{folder}/bands", _BANDS, tables.load_ensemble(spark, f"{folder}/ensemble"), 3)
+    mapping.write_map(got, f"{folder}/map")
+    return _shown(lookup.stack(geotiff.read(spark, f"{folder}/map"), ["class", "share", "p", "u"]))
+
+
+@query("L22_J13_joint_map", sql(f"with {_map_sql(_RUNS, 'one_')}, {_map_sql(_PARTS, 'two_')} select row, col, one_map.class as upper, two_map.class, round(1 - (1 - one_map.u) * (1 - two_map.u), 6) as u from one_map join two_map using (row, col)", "v_bands"))
+def joint_map(spark, d):
+    cells = _cells(spark, d)
+    parent, child = (mapping.class_map(cells, _BANDS, _stumps(spark, runs), len(runs[0][2]), _WIDTH) for runs in (_RUNS, _PARTS))
+    return rounded(mapping.joint_map(parent, child).select("row", "col", "upper", "class", "u"))
+
+
+@query("L18_L20_selected_map")
+def selected_map(spark, d):
+    """Selection by held-out rounds, its best set refitted, and the scene mapped with it."""
+    params = boosting.Params(objective="softmax", n_classes=10, depth=2, rounds=3)
+    s, names = views.samples(spark, d, 7), _BANDS  # the scene has seven bands
+    series, sets = selection.floating_selection(s, names, params, max_iterations=3, every=3, k=3, metric="accuracy")
+    return _shown(mapping.selected_map(_cells(spark, d), s, names, sets, series, params, _WIDTH))
+
+
+@query("A27_U1_T7_final_set", sql("""with s as (select *, lag(metric) over (order by iter) as a, lead(metric) over (order by iter) as b, max(metric) over () as top from v_series),
+t as (select min(iter) as first_at from s where metric = top), m as (select iter from s, t where metric > a and metric > b and metric > 0.85::double * top and iter <= first_at)
+select distinct 'x' || (iter * k % 7) as var from m, range(1, 4) r(k)""", "v_series"))
+def final_set(spark, d):
+    series = views.series(spark, d)
+    sets = series.select("iter", F.explode(F.array(*[F.concat(F.lit("x"), (F.col("iter") * k % 7).cast("string")) for k in (1, 2, 3)])).alias("var"))
+    return selection.final_set(sets, series, 0.85)
+
+
+@query("S1_S2_csv", sql("select id, name from v_names", "v_names"))
+def csv(spark, d):
+    folder = scratch(spark, "names")
+    views.names(spark, d).write.option("header", True).csv(folder)
+    return tables.read_csv(spark, folder, "id long, name string")

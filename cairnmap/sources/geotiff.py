@@ -8,6 +8,7 @@ after it, one row for each strip, little-endian.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -239,7 +240,7 @@ class GeoTiffSource(DataSource):
 
 class _Writer(DataSourceWriter):
     def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://")
+        self.folder = re.sub(r"^file:/+", "/", folder)
 
     def write(self, rows):
         import os

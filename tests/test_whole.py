@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force on every row or cell."""
+"""Raster and feature queries over whole tables against brute force in numpy, on every row or cell."""
 
 import numpy as np
 import pandas as pd
@@ -28,31 +28,31 @@ def windows(a, r):
 
 
 def test_median_of_all_cells(spark, data, raster):
-    assert np.allclose(grid(spark, data, "W7_median_filter_whole", "v", raster.shape), np.median(windows(raster, 2), axis=(2, 3)), atol=2e-6)
+    assert np.allclose(grid(spark, data, "W7_median_filter", "v", raster.shape), np.median(windows(raster, 2), axis=(2, 3)), atol=2e-6)
 
 
 def test_disk_of_all_cells(spark, data, raster):
     k = np.zeros((11, 11))
     for (dy, dx), w in focal.disk_kernel(5).items():
         k[dy + 5, dx + 5] = w
-    assert np.allclose(grid(spark, data, "W10_W13_disk_filter_whole", "v", raster.shape), np.einsum("ijkl,kl->ij", windows(raster, 5), k), atol=2e-6)
+    assert np.allclose(grid(spark, data, "W10_W13_disk_filter", "v", raster.shape), np.einsum("ijkl,kl->ij", windows(raster, 5), k), atol=2e-6)
 
 
 def test_gaussian_of_all_cells(spark, data, raster):
     g = np.exp(-(np.arange(-12, 13) ** 2) / (2 * 3.5**2))
     k = np.outer(g, g) / g.sum() ** 2
-    assert np.allclose(grid(spark, data, "W8_gaussian_filter_whole", "v", raster.shape), np.einsum("ijkl,kl->ij", windows(raster, 12), k), atol=2e-6)
+    assert np.allclose(grid(spark, data, "W8_gaussian_filter", "v", raster.shape), np.einsum("ijkl,kl->ij", windows(raster, 12), k), atol=2e-6)
 
 
 def test_distance_of_all_cells(spark, data, raster):
     src = np.argwhere(raster > 0.35)
     want = np.array([[np.sqrt(((src - [i, j]) ** 2).sum(1).min()) for j in range(raster.shape[1])] for i in range(raster.shape[0])]) * 0.2
-    assert np.allclose(grid(spark, data, "L23_P7_distance_whole", "dist", raster.shape), want, atol=2e-6)
+    assert np.allclose(grid(spark, data, "L23_P7_distance", "dist", raster.shape), want, atol=2e-6)
 
 
 def test_textures_of_all_cells(spark, data, raster):
     names = ["asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy"]
-    one, two = (catalog.QUERIES[n](spark, data).toPandas().set_index(["row", "col"]).sort_index() for n in ("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures_whole", "J11_textures_relational_whole"))
+    one, two = (catalog.QUERIES[n](spark, data).toPandas().set_index(["row", "col"]).sort_index() for n in ("W6_J11_J12_G1_G2_G5_G6_G8_G9_textures", "J11_textures_relational"))
     assert list(one.index) == [tuple(x) for x in np.argwhere(raster != 0)] and one.index.equals(two.index)
     assert np.allclose(one[names], two[names], atol=2e-6)
     q = np.searchsorted(catalog.THRESHOLDS, np.pad(raster, 4), side="left")
@@ -72,14 +72,7 @@ def test_textures_of_all_cells(spark, data, raster):
 
 
 def test_correlation_of_all_pairs(spark, data, raster):
-    got = catalog.QUERIES["A22_correlation_whole"](spark, data).toPandas()
+    got = catalog.QUERIES["A22_correlation"](spark, data).toPandas()
     want = np.corrcoef(raster.T)
     assert len(got) == 64 * 63 // 2 and (got.i < got.j).all()
     assert np.allclose(got.r, want[got.i, got.j], atol=2e-6)
-
-
-def test_drop_ids_of_all_orders(spark):
-    d = "/root/testdata/sf0.01"  # has orders from key 2000 on
-    c, o = (pd.read_parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
-    part, whole = ({r["id"] for r in catalog.QUERIES[n](spark, d).collect()} for n in ("P4_P5_U2_U6_drop_ids", "P4_P5_U2_U6_drop_ids_whole"))
-    assert whole == set(c[(c.c_mktsegment == "BUILDING") & ~c.c_custkey.isin(o.o_custkey)].c_custkey) and whole < part
