@@ -464,7 +464,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     # A copy stands for the smallest of its texts, so that equal texts are verified once; not where an id has other texts too.
     texts_of = known.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("copy").alias("x"), F.max("copy").alias("y")).where("x = y").select(F.col("doc_id").alias("a"))
     low = copies.join(texts_of, "a").select("a", F.col("b").alias("low"))
-    met = met.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b", "g")
+    # The smallest member of a large group has a row for each of the others, and is dealt over slots.
+    dealt = low.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS // 2 - 1))))
+    met = met.withColumn("slot", F.pmod(F.xxhash64(F.coalesce("b", "g")), F.lit(SALTS // 2)).cast("int")).join(dealt, ["a", "slot"], "left").select(F.coalesce("low", "a").alias("a"), "b", "g")
     met = met.withColumn("_id", F.coalesce("b", "a")).join(low.withColumnRenamed("a", "_id"), "_id", "left")  # rows of groups have no b and would all meet
     met = met.select("a", F.when(F.col("b").isNotNull(), F.coalesce("low", "b")).alias("b"), "g")
     met = checkpoint(met.where("g is not null or a <> b").select(F.when(F.col("g").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("g").isNull(), F.greatest("a", "b")).alias("b"), "g").distinct())
