@@ -91,27 +91,31 @@ def tiles(df: DataFrame, reach: int, size: int = 256) -> DataFrame:
     return df.select("row", "col", "v", of("row").alias("ty")).select("*", of("col").alias("tx"))
 
 
-def per_tile(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], reach: int, size: int = 256, outside: float = 0.0, wrap: bool = False) -> DataFrame:
-    """Runs a kernel on each tile's array, padded by ``reach`` cells, and keeps the tile's own cells that are in df.
+def chain(df: DataFrame, kernels: list[tuple[Callable[[np.ndarray], np.ndarray], int]], size: int = 256, outside: float = 0.0) -> DataFrame:
+    """Kernels one after the other on each tile's array, each with its reach; one shuffle, whose halo is the sum of all.
 
-    Only cells present are returned; absent ones, and those outside, read as ``outside``.
-    The result does not depend on the tile's size.
+    Only cells present are returned; absent ones, and those outside, read as ``outside``,
+    between kernels too, so the result is that of one pass for each kernel. It does not
+    depend on the tile's size.
     """
+    reach = sum(r for _, r in kernels)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = key[0] * size - reach, key[1] * size - reach
         a = np.full((size + 2 * reach, size + 2 * reach), outside)
+        there = np.zeros(a.shape, bool)
         r, c = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
-        a[r, c] = pdf["v"].to_numpy()
+        a[r, c], there[r, c] = pdf["v"].to_numpy(), True
         own = (r >= reach) & (r < reach + size) & (c >= reach) & (c < reach + size)
-        out = kernel(a)
-        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "v": out[r[own] - reach, c[own] - reach]})
+        for kernel, step in kernels:
+            a, there = kernel(a), there[step : len(there) - step, step : there.shape[1] - step]
+            a = np.where(there, a, outside)
+        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "v": a[r[own] - reach, c[own] - reach]})
 
     return tiles(df, reach, size).groupBy("ty", "tx").applyInPandas(run, "row long, col int, v double")
 
 
-def median_filter(df: DataFrame, window: int = 11, size: int = 256) -> DataFrame:
-    """Median of the square window; NoData and the outside count as 0."""
+def _median(window: int) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
     r = (window - 1) // 2
 
     def kernel(a: np.ndarray) -> np.ndarray:
@@ -121,11 +125,10 @@ def median_filter(df: DataFrame, window: int = 11, size: int = 256) -> DataFrame
             out[i] = np.median(view[i].reshape(view.shape[1], -1), axis=1)
         return out
 
-    return per_tile(df, kernel, r, size)
+    return kernel, r
 
 
-def gaussian_filter(df: DataFrame, size: int = 25, sigma: float = 3.5, tile: int = 256) -> DataFrame:
-    """Two one-dimensional passes of the kernel; what lies outside counts as 0."""
+def _gaussian(size: int, sigma: float) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
     g = np.array(list(gaussian_kernel(size, sigma).values()))
     r = (size - 1) // 2
 
@@ -133,11 +136,10 @@ def gaussian_filter(df: DataFrame, size: int = 25, sigma: float = 3.5, tile: int
         rows = sum(g[k] * a[:, k : a.shape[1] - 2 * r + k] for k in range(size))
         return sum(g[k] * rows[k : a.shape[0] - 2 * r + k] for k in range(size))
 
-    return per_tile(df, kernel, r, tile)
+    return kernel, r
 
 
-def disk_filter(df: DataFrame, radius: int = 5, tile: int = 256) -> DataFrame:
-    """Mean over a disk; what lies outside counts as 0."""
+def _disk(radius: float) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
     weights = disk_kernel(radius)
     r = max(dy for dy, _ in weights)
 
@@ -145,17 +147,32 @@ def disk_filter(df: DataFrame, radius: int = 5, tile: int = 256) -> DataFrame:
         h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
         return sum(k * a[r + dy : r + dy + h, r + dx : r + dx + w] for (dy, dx), k in weights.items())
 
-    return per_tile(df, kernel, r, tile)
+    return kernel, r
+
+
+def median_filter(df: DataFrame, window: int = 11, size: int = 256) -> DataFrame:
+    """Median of the square window; NoData and the outside count as 0."""
+    return chain(df, [_median(window)], size)
+
+
+def gaussian_filter(df: DataFrame, size: int = 25, sigma: float = 3.5, tile: int = 256) -> DataFrame:
+    """Two one-dimensional passes of the kernel; what lies outside counts as 0."""
+    return chain(df, [_gaussian(size, sigma)], tile)
+
+
+def disk_filter(df: DataFrame, radius: int = 5, tile: int = 256) -> DataFrame:
+    """Mean over a disk; what lies outside counts as 0."""
+    return chain(df, [_disk(radius)], tile)
 
 
-def smooth_long(df: DataFrame, sigma: float = 3.5) -> DataFrame:
-    """The long chain: median 11, Gaussian 25, median 5, disk 5."""
-    return disk_filter(median_filter(gaussian_filter(median_filter(df, 11), 25, sigma), 5), 5)
+def smooth_long(df: DataFrame, sigma: float = 3.5, tile: int = 256) -> DataFrame:
+    """The long chain: median 11, Gaussian 25, median 5, disk 5; one shuffle with the summed halo."""
+    return chain(df, [_median(11), _gaussian(25, sigma), _median(5), _disk(5)], tile)
 
 
-def smooth_short(df: DataFrame, radius: int = 5) -> DataFrame:
-    """The short chain for textures: median 15, disk."""
-    return disk_filter(median_filter(df, 15), radius)
+def smooth_short(df: DataFrame, radius: int = 5, tile: int = 256) -> DataFrame:
+    """The short chain for textures: median 15, disk; one shuffle with the summed halo."""
+    return chain(df, [_median(15), _disk(radius)], tile)
 
 
 def resample(df: DataFrame, scale: float, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:

@@ -76,3 +76,16 @@ def test_correlation_of_all_pairs(spark, data, raster):
     want = np.corrcoef(raster.T)
     assert len(got) == 64 * 63 // 2 and (got.i < got.j).all()
     assert np.allclose(got.r, want[got.i, got.j], atol=2e-6)
+
+
+@pytest.mark.parametrize("tile", [16, 40, 256])
+def test_fused_chain_is_one_filter_after_the_other(spark, tile):
+    rng = np.random.default_rng(11)
+    cells = [(r, c, float(rng.integers(0, 9))) for r in range(37) for c in range(45) if rng.random() < 0.9]
+    df = spark.createDataFrame(cells, "row long, col int, v double")
+    long = focal.disk_filter(focal.median_filter(focal.gaussian_filter(focal.median_filter(df, 11), 25, 3.5), 5), 5)
+    short = focal.disk_filter(focal.median_filter(df, 15), 5)
+    for fused, steps in ((focal.smooth_long(df, tile=tile), long), (focal.smooth_short(df, tile=tile), short)):
+        a, b = ({(r["row"], r["col"]): r["v"] for r in x.collect()} for x in (fused, steps))
+        assert a.keys() == b.keys() and len(a) == len(cells)
+        assert max(abs(a[k] - b[k]) for k in a) < 1e-12
