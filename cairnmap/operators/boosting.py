@@ -202,10 +202,16 @@ def _expanded(x: np.ndarray, n_classes: int) -> np.ndarray:
 
 
 def fit_one(x: np.ndarray, y: np.ndarray, method: str, p: Params, w: np.ndarray | None = None) -> Booster:
-    """method: softmax, category (one binary model of whether row and class belong together) or binary."""
+    """method: softmax, category (one binary model of whether row and class belong together) or binary.
+
+    Weights of rows are for softmax and binary. A weighted category model weighs pairs that
+    belong together by how many do not for each that does; instance weights play no part,
+    since every row meets every class there.
+    """
     if method == "category":
         hit = (np.repeat(y, p.n_classes) == np.tile(np.arange(p.n_classes), len(y))).astype(float)
-        return Booster(replace(p, objective="binary", pos_weight=p.n_classes - 1)).fit(_expanded(x, p.n_classes), hit, None if w is None else np.repeat(w, p.n_classes))
+        ratio = 1.0 if w is None else float((hit == 0).sum() / max(hit.sum(), 1))
+        return Booster(replace(p, objective="binary", pos_weight=ratio)).fit(_expanded(x, p.n_classes), hit)
     return Booster(replace(p, objective="softmax" if method == "softmax" else p.objective)).fit(x, y, w)
 
 
