@@ -117,11 +117,45 @@ def evaluate(df: DataFrame, method: str) -> DataFrame:
 
 
 def report(df: DataFrame, methods: tuple[str, ...] = ("accuracy", "kappa", "balanced-accuracy", "linear-accuracy")) -> DataFrame:
-    """metric, value for each method: the evaluation report of a classifier."""
+    """metric, value for each method: the evaluation report of a classifier.
+
+    Metrics of classes come from the pairs' counts, which are taken in one scan; only "auc"
+    reads the rows again. Rows without truth or prediction do not count; the metrics of an
+    empty table are null.
+    """
+    unknown = [m for m in methods if m not in METRICS or m == "confmat"]
+    if unknown:
+        raise ValueError(f"unknown metric: {unknown[0]}; known are {', '.join(m for m in METRICS if m != 'confmat')}")
     out = None
-    for m in methods:
-        one = evaluate(df, m).select(F.lit(m).alias("metric"), F.col("value").cast("double").alias("value"))
-        out = one if out is None else out.unionByName(one)
+    counted = [m for m in methods if m != "auc"]
+    if counted:
+        pairs = confusion(df.where("y is not null and p is not null"))
+        side = pairs.select(F.explode(F.array(F.struct(F.col("y").alias("k"), F.col("n").alias("a"), F.lit(0).cast("long").alias("b"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("d")), F.struct(F.col("p").alias("k"), F.lit(0).cast("long").alias("a"), F.col("n").alias("b"), F.lit(0).cast("long").alias("d")))).alias("s"))
+        per = side.groupBy("s.k").agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"), F.sum("s.d").alias("d"))
+        a, b, d = F.col("a"), F.col("b"), F.col("d")
+        one = per.agg(
+            F.sum(a).cast("double").alias("n"), F.sum(d).cast("double").alias("hit"), F.sum(a.cast("double") * b).alias("chance"),
+            # Class ids run from 0 to the largest; one that is absent among them makes both means NaN.
+            (F.max(F.when(a > 0, F.col("k"))) + 1).alias("ids"), F.sum((a > 0).cast("long")).alias("seen"),
+            F.sum(F.when(a > 0, d / a)).alias("rates"),
+            F.sum(F.when(F.col("k") == 1, d).otherwise(0)).alias("tp"), F.sum(F.when(F.col("k") == 1, a).otherwise(0)).alias("pos"), F.sum(F.when(F.col("k") == 1, b).otherwise(0)).alias("said"),
+        )
+        po, pe = F.col("hit") / F.col("n"), F.col("chance") / F.col("n") / F.col("n")
+        nan = F.when(F.col("seen") < F.col("ids"), F.lit(float("nan")))
+        formulas = {
+            "accuracy": po,
+            "kappa": (po - pe) / (1 - pe),
+            "balanced-accuracy": nan.otherwise(F.col("rates") / F.col("ids")),
+            "linear-accuracy": nan.otherwise((0.25 * F.col("rates") + 0.75 * F.col("hit") / F.col("n")) / (0.25 * F.col("ids") + 0.75)),
+            "recall": _ratio(F.col("tp"), F.col("pos")),
+            "precision": _ratio(F.col("tp"), F.col("said")),
+            "f1score": _ratio(2 * F.col("tp"), F.col("pos") + F.col("said")),
+        }
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), formulas[m].cast("double").alias("value")) for m in counted])
+        out = one.select(F.explode(cells).alias("c")).select("c.metric", "c.value")
+    if "auc" in methods:
+        area = auc(df).select(F.lit("auc").alias("metric"), F.col("value").cast("double").alias("value"))
+        out = area if out is None else out.unionByName(area)
     return out
 
 

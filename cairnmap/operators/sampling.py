@@ -91,6 +91,8 @@ def smote_targets(df: DataFrame, ratio: float = 16, label: str = "y") -> DataFra
 def neighbours(df: DataFrame, k: int, block: int = 512) -> DataFrame:
     """id, y, nn: the k nearest of the same class, by Euclidean distance, ties by id.
 
+    Pass only the classes that are asked for: the work grows with the square of a class.
+
     A stated query set against all rows of its class, in blocks: each block of a class
     meets each other block once, and keeps k candidates before they are merged.
     """
@@ -125,7 +127,8 @@ def smote(df: DataFrame, ratio: float = 16, seed: int = 1) -> DataFrame:
     least = t.agg(F.min("n")).first()[0] or 0
     k = 5 if least > 5 else max(1, least - 1)
     need = t.withColumn("deficit", F.greatest(F.col("target") - F.col("n"), F.lit(0))).where("deficit > 0")
-    nn = neighbours(df, k).where(F.size("nn") > 0)
+    # Classes at their target get no synthetic samples, so theirs are not compared at all.
+    nn = neighbours(df.join(F.broadcast(need.select("y")), "y", "left_semi"), k).where(F.size("nn") > 0)
     src = df.join(F.broadcast(need), "y").join(nn, ["y", "id"]).join(_ranked(df.select("id", "y"), "y", seed, "id").select("id", "rank"), "id")
     # The deficit is dealt over the class: sample of rank r makes the synthetic ones r, r + n, r + 2n and so on.
     made = src.withColumn("j", F.explode(F.expr("case when rank <= deficit then sequence(rank, deficit, n) else cast(array() as array<bigint>) end")))

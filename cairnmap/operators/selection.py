@@ -105,26 +105,36 @@ def final_set(sets: DataFrame, series: DataFrame, share: float = 0.85) -> DataFr
     return sets.join(F.broadcast(strong_maxima(series, share).select("iter")), "iter", "left_semi").select("var").distinct()
 
 
-def sweep(samples: DataFrame, base: list[int], candidates: list[int], params: boosting.Params, forward: bool = True, k: int = 5, metric: str = "kappa", seed: int = 1) -> DataFrame:
-    """pos, e: the pooled cross-validated metric of the set with each candidate added, or without it.
+def sweep(samples: DataFrame, base: list[int], candidates: list[int], params: boosting.Params, forward: bool = True, k: int = 5, metric: str = "kappa", seed: int = 1, method: str = "softmax", repeats: int = 1, valid: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+    """pos, e: the metric of the set with each candidate added, or without it.
 
-    One group for each candidate; the sample table is the bounded training set of a map.
+    Cross-validated over ``repeats`` deals of k folds, the predictions of all pooled; with
+    ``valid`` fitted on all samples and scored on valid instead. One group for each
+    candidate; the sample table is the bounded training set of a map.
     """
-    folds = sampling.stratified_folds(samples, k, seed=seed).drop("repeat")
-    rows = folds.withColumn("pos", F.explode(F.array(*[F.lit(c) for c in candidates])))
+    if valid is None:
+        dealt = sampling.stratified_folds(samples, k, seed=seed, repeats=repeats).select("id", "y", "x", "repeat", "fold")
+    else:
+        dealt = samples.select("id", "y", "x", F.lit(0).alias("repeat"), F.lit(-1).alias("fold"))
+        dealt = dealt.unionByName(valid.select("id", "y", "x", F.lit(0).alias("repeat"), F.lit(0).alias("fold")))
+    rows, folds = dealt.withColumn("pos", F.explode(F.array(*[F.lit(c) for c in candidates]))), k if valid is None else 1
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         c = int(pdf["pos"].iloc[0])
-        pdf = pdf.sort_values("id")
         feats = [*base, c] if forward else [f for f in base if f != c]
-        x, y, fold = np.stack(pdf["x"].to_numpy())[:, feats], pdf["y"].to_numpy(int), pdf["fold"].to_numpy()
-        out = np.zeros(len(y), int)
-        for f in range(k):
-            test = fold == f
-            if test.any() and feats:
-                model = boosting.fit_one(x[~test], y[~test], "softmax", replace(params, seed=seed))
-                out[test] = boosting.predict_one(model, x[test], "softmax", params.n_classes).argmax(1)
-        return pd.DataFrame([(c, boosting.local_metric(y, out, metric))], columns=["pos", "e"])
+        truth, said = [], []
+        for _, part in pdf.sort_values("id").groupby("repeat"):
+            x, y, fold = np.stack(part["x"].to_numpy())[:, feats], part["y"].to_numpy(int), part["fold"].to_numpy()
+            out = np.zeros(len(y), int)
+            for f in range(folds):
+                test = fold == f
+                if test.any() and not test.all() and feats:
+                    model = boosting.fit_one(x[~test], y[~test], method, replace(params, seed=seed), boosting.class_weights(y[~test]) if weighted else None)
+                    out[test] = boosting.predict_one(model, x[test], method, params.n_classes).argmax(1)
+            truth.append(y[fold >= 0])
+            said.append(out[fold >= 0])
+        e = boosting.local_metric(np.concatenate(truth), np.concatenate(said), metric) if len(truth) else 0.0
+        return pd.DataFrame([(c, e)], columns=["pos", "e"])
 
     return rows.groupBy("pos").applyInPandas(score, "pos int, e double")
 

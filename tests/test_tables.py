@@ -1,5 +1,7 @@
 """Sources, sinks, lookups, votes, sampling and models on hand-made inputs."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +202,36 @@ def test_floating_selection_finds_the_telling_features(spark, mode):
     series, sets = selection.floating_selection(df, ["a", "b", "c", "d"], p, max_iterations=2, max_backtracks=3, k=3, mode=mode)
     assert series.count() == 2
     assert {r["var"] for r in sets.where("iter = 2").collect()} == {"b", "d"}
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_report_is_each_metric_by_itself(spark, gap):
+    rng = np.random.default_rng(6)
+    y = rng.choice([0, 1, 3] if gap else [0, 1, 2, 3], 300)
+    p = np.where(rng.random(300) < 0.7, y, rng.integers(0, 6, 300))
+    df = spark.createDataFrame([(int(a), int(b), float(s)) for a, b, s in zip(y, p, rng.random(300), strict=True)], "y int, p int, s double")
+    names = tuple(m for m in metrics.METRICS if m != "confmat")
+    got = {r["metric"]: r["value"] for r in metrics.report(df, names).collect()}
+    assert tuple(got) == tuple(m for m in names if m != "auc") + ("auc",)
+    for m in names:
+        alone = metrics.evaluate(df, m).first()["value"]
+        assert got[m] == pytest.approx(alone, nan_ok=True) and (not gap or "-" not in m or np.isnan(alone))
+    assert all(r["value"] is None for r in metrics.report(df.limit(0)).collect())
+    with pytest.raises(ValueError):
+        metrics.report(df, ("nonsense",))
+
+
+def test_sweep_by_hold_out_repeats_and_categories(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 3))
+    y = (x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), r.tolist()) for i, r in enumerate(x)], "id long, y int, x array<double>")
+    params = boosting.Params(objective="softmax", n_classes=2, depth=2, rounds=6)
+    train, valid = df.where("id < 160"), df.where("id >= 160")
+    held = {r["pos"]: r["e"] for r in selection.sweep(train, [], [0, 1], params, valid=valid, metric="accuracy").collect()}
+    model = boosting.fit_one(x[:160][:, [1]], y[:160], "softmax", replace(params, seed=1))
+    assert held[1] == pytest.approx((boosting.predict_one(model, x[160:][:, [1]], "softmax", 2).argmax(1) == y[160:]).mean())
+    assert held[1] > 0.9 > held[0]
+    for method, repeats in (("softmax", 2), ("category", 1)):
+        got = {r["pos"]: r["e"] for r in selection.sweep(df, [], [0, 1], params, k=3, method=method, repeats=repeats, weighted=True).collect()}
+        assert got[1] > 0.8 > got[0]
