@@ -6,6 +6,7 @@ one pass over the stack and no shuffle, whatever the number of runs.
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -74,14 +75,17 @@ def joint_map(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 
 def write_map(cells: DataFrame, folder: str, geo: geotiff.Georeference | None = None) -> None:
-    """class, share, p and u as one GeoTIFF each, below a folder that all executors mount."""
+    """class, share, p and u as one GeoTIFF each, below a folder that all executors mount; NaN where the map has no cell."""
     bands = F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col(c).cast("double").alias("v")) for c in ("class", "share", "p", "u")])).alias("b")
-    geotiff.write(cells.select("row", "col", bands).select("b.band", "row", "col", "b.v"), folder, geo, "Float64")
+    geotiff.write(cells.select("row", "col", bands).select("b.band", "row", "col", "b.v"), folder, geo, "Float64", outside=math.nan)
 
 
 def map_files(spark: SparkSession, paths: list[str] | str, names: list[str], ensemble: DataFrame, n_classes: int, **options) -> DataFrame:
-    """class_map() of a stack of GeoTIFF files, one band each; only the named bands' files are opened."""
-    cells = geotiff.read(spark, paths, names)
+    """class_map() of a stack of GeoTIFF files, one band each; only the named bands' files are opened.
+
+    A place that holds in every file the NoData value the file names is no cell of the map.
+    """
+    cells = geotiff.read(spark, paths, names, inside=True)
     n_cols = int(cells.agg(F.max("col")).first()[0]) + 1
     return class_map(lookup.stack(cells, names), names, ensemble, n_classes, n_cols, **options)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -754,11 +755,11 @@ def map_of_files(spark, d):
     """Bands to GeoTIFF files, the ensemble to a table, both read again, the map written and read again."""
     folder = scratch(spark, "scene")
     bands_long = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in _BANDS])).alias("b")
-    geotiff.write(_cells(spark, d).select("row", "col", bands_long).select("b.band", "row", "col", "b.v"), f"{folder}/bands", geotiff.Georeference(10, 45, 0.5, -0.5), "Float64")
+    geotiff.write(_cells(spark, d).select("row", "col", bands_long).select("b.band", "row", "col", "b.v"), f"{folder}/bands", geotiff.Georeference(10, 45, 0.5, -0.5), "Float64", outside=math.nan)
     tables.save_ensemble(_stumps(spark, _RUNS), f"{folder}/ensemble")
     got = mapping.map_files(spark, f"{folder}/bands", _BANDS, tables.load_ensemble(spark, f"{folder}/ensemble"), 3)
     mapping.write_map(got, f"{folder}/map")
-    return _shown(lookup.stack(geotiff.read(spark, f"{folder}/map"), ["class", "share", "p", "u"]))
+    return _shown(lookup.stack(geotiff.read(spark, f"{folder}/map", inside=True), ["class", "share", "p", "u"]))
 
 
 @query("L22_J13_joint_map", sql(f"with {_map_sql(_RUNS, 'one_')}, {_map_sql(_PARTS, 'two_')} select row, col, one_map.class as upper, two_map.class, round(1 - (1 - one_map.u) * (1 - two_map.u), 6) as u from one_map join two_map using (row, col)", "v_bands"))
