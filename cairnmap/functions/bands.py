@@ -15,6 +15,11 @@ def nan_to(c: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.nanvl(c, F.lit(default)), F.lit(default))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754, whatever spark.sql.ansi.enabled is: over zero an infinity of a's sign, NaN for 0 / 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def band_shifts(pixels: DataFrame, bands: range = range(1, 8)) -> dict[int, float]:
     """|min(smallest valid value, 0)| of each band: one row of seven numbers."""
     row = pixels.agg(*[F.min(F.when(F.col(f"b{i}") != 0, F.col(f"b{i}"))).alias(f"b{i}") for i in bands]).first()
@@ -23,20 +28,20 @@ def band_shifts(pixels: DataFrame, bands: range = range(1, 8)) -> dict[int, floa
 
 def indices(shift: dict[int, float]) -> dict[str, Column]:
     """The 17 variables: seven shifted bands and ten indices, 0 where the mask band is NoData."""
-    b = {i: F.col(f"b{i}") + (shift[i] + 1) for i in range(1, 8)}
+    b = {i: F.col(f"b{i}") + shift[i] + 1 for i in range(1, 8)}  # in this order: differences of two bands are then the same doubles as in SQL
     raw4, raw5, soil = F.col("b4"), F.col("b5"), 0.5
     out = {str(i): (b[i], i) for i in range(1, 8)}
     out |= {
-        "ndvi": ((b[5] - b[4]) / (b[5] + b[4] + EPS), 4),
-        "rvi": (b[5] / (b[4] + EPS), 4),
+        "ndvi": (ratio(b[5] - b[4], b[5] + b[4] + EPS), 4),
+        "rvi": (ratio(b[5], b[4] + EPS), 4),
         "dvi": (b[5] - b[4], 4),
-        "evi": (2.5 * (b[5] - b[4]) / (b[5] + 6 * b[4] - 7.5 * b[2] + 1 + EPS), 4),
-        "vi01": ((b[4] - b[3]) / (b[5] + EPS), 4),
-        "vi02": (b[5] / (b[3] + EPS), 3),
-        "vi03": (b[7] / (b[4] + EPS), 4),
-        "savi": ((raw5 - raw4) / (raw5 + raw4 + soil) * (1 + soil), 4),
-        "ndsi": ((b[4] - b[5]) / (b[4] + b[5] + EPS), 4),
-        "si03": (b[3] * b[4] / (b[2] + EPS), 4),
+        "evi": (ratio(2.5 * (b[5] - b[4]), b[5] + 6 * b[4] - 7.5 * b[2] + 1 + EPS), 4),
+        "vi01": (ratio(b[4] - b[3], b[5] + EPS), 4),
+        "vi02": (ratio(b[5], b[3] + EPS), 3),
+        "vi03": (ratio(b[7], b[4] + EPS), 4),
+        "savi": (ratio(raw5 - raw4, raw5 + raw4 + soil) * (1 + soil), 4),
+        "ndsi": (ratio(b[4] - b[5], b[4] + b[5] + EPS), 4),
+        "si03": (ratio(b[3] * b[4], b[2] + EPS), 4),
     }
     return {k: F.when(F.col(f"b{mask}") == 0, 0.0).otherwise(e) for k, (e, mask) in out.items()}
 

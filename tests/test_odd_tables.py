@@ -28,3 +28,10 @@ def test_map_of_files_has_the_cells_of_the_scene_only(both, same):
     got, want = both("S4_S5_S9_S10_K1_K2_K9_map_of_files", [(i, [0.0] if i == 8 else []) for i in range(33) if i not in (4, 17)])
     assert len(want) == 31 and (want["class"] == 0).sum() == 1
     same(got, want)
+
+
+def test_indices_over_zero(both, same):
+    # b4 + b5 = -0.5 is the denominator of v_savi: infinities of both signs and NaN.
+    got, want = both("B1_to_B17_A19_P8_indices", [(0, [0.1, 0.1, 0.1, -0.3, -0.2]), (1, [0.1, 0.1, 0.1, -0.2, -0.3]), (2, [0.1, 0.1, 0.1, -0.25, -0.25]), (3, [0.1, 0.1, 0.1, 0.0, -0.5]), (4, [])])
+    assert list(np.isinf(want.sort_values("pixel")["v_savi"])) == [True, True, False, False, False]
+    same(got, want)
