@@ -162,33 +162,60 @@ def textures(df: DataFrame, thresholds: list[float], window: int = 9, combine: s
     return tiles(df, r, size).groupBy("ty", "tx").applyInPandas(run, "row long, col int, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
-def textures_relational(df: DataFrame, thresholds: list[float], window: int = 9) -> DataFrame:
-    """Six of the measures by joins alone: row, col, asm, contrast, idm, sum_average, sum_entropy, entropy.
+def textures_relational(df: DataFrame, thresholds: list[float], window: int = 9, size: int = 32) -> DataFrame:
+    """Six of the measures by relations alone: row, col, asm, contrast, idm, sum_average, sum_entropy, entropy.
 
-    Pairs are replicated to the window centres that hold both cells, so this form suits
-    small extents and checks the tile form.
+    Cells go once to tiles with a halo; all that follows is grouped by tile first, so the
+    pairs, which are replicated to the window centres that hold both cells, are counted
+    where they arise and neither shuffled nor stored. A partition has few tiles, which
+    bounds the counts it holds.
     """
     r = (window - 1) // 2
     box = df.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).first()
     spark = df.sparkSession
-    ring = spark.range(box["r0"] - r, box["r1"] + r + 1).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(int(box["c0"]) - r), F.lit(int(box["c1"]) + r))).alias("col"))
-    cells = ring.join(df, ["row", "col"], "left").select("row", "col", level_of(F.coalesce("v", F.lit(0.0)), thresholds).alias("q"))
-    parts = []
-    for d, (dy, dx) in enumerate(DIRECTIONS):
-        other = cells.select((F.col("row") - dy).alias("row"), (F.col("col") - dx).alias("col"), F.col("q").alias("p"))
-        pair = cells.join(other, ["row", "col"])
-        rows = F.sequence(F.col("row") + max(0, dy) - r, F.col("row") + min(0, dy) + r)
-        cols = F.sequence(F.col("col") + dx - r, F.col("col") + r)
-        at = pair.select("q", "p", F.explode(rows).alias("row"), "col").select("q", "p", "row", F.explode(cols).alias("col"))
-        ij = F.explode(F.array(F.struct(F.col("q").alias("i"), F.col("p").alias("j")), F.struct(F.col("p").alias("i"), F.col("q").alias("j"))))
-        parts.append(at.select(F.lit(d).alias("d"), "row", "col", ij.alias("ij")).select("d", "row", "col", "ij.i", "ij.j"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    live = df.where("v <> 0").select("row", "col")
-    count = every.join(live, ["row", "col"], "left_semi").groupBy("d", "row", "col", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    total = 2.0 * (window - 1) * window
-    n_pairs = F.when(F.col("d").isin(1, 3), F.lit(2.0 * (window - 1) * (window - 1))).otherwise(F.lit(total))
-    p = count.withColumn("p", F.col("n") / n_pairs)
-    plus = p.groupBy("d", "row", "col", (F.col("i") + F.col("j") + 2).alias("k")).agg(F.sum("p").alias("p")).groupBy("row", "col").agg(F.sum(F.col("k") * F.col("p")).alias("sum_average"), (-F.sum(F.col("p") * F.log(F.col("p") + EPS))).alias("sum_entropy"))
+    ring = spark.range(box["r0"] - r, box["r1"] + r + 1).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(int(box["c0"]) - r), F.lit(int(box["c1"]) + r))).alias("col"), F.lit(None).cast("double").alias("v"))
+    every = ring.unionByName(df.select(F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), "v"))
+
+    def places(c: str) -> Column:
+        """The tiles whose halo has the cell."""
+        return F.explode(F.sequence(F.floor((F.col(c) - r) / size), F.floor((F.col(c) + r) / size)))
+
+    tiles_there = ((box["r1"] - box["r0"]) // size + 2) * ((box["c1"] - box["c0"]) // size + 2)
+    dealt = every.withColumn("ty", places("row")).withColumn("tx", places("col")).repartition(max(1, -(-tiles_there // 4)), "ty", "tx")
+    cell = dealt.groupBy("ty", "tx", "row", "col").agg(F.max("v").alias("v"))
+    cell = cell.select("ty", "tx", "row", "col", (F.coalesce("v", F.lit(0.0)) != 0).alias("live"), level_of(F.coalesce("v", F.lit(0.0)), thresholds).alias("q"))
+    cell = cell.withColumn("right", F.lead("q").over(Window.partitionBy("ty", "tx", "row").orderBy("col")))
+    down = Window.partitionBy("ty", "tx", "col").orderBy("row")
+    cell = cell.withColumn("p2", F.lead("q").over(down)).withColumn("p3", F.lead("right").over(down)).withColumn("p1", F.lag("right").over(down)).withColumnRenamed("right", "p0")
+
+    row, col, y0, x0 = F.col("row"), F.col("col"), F.col("ty") * size, F.col("tx") * size
+
+    def to(d: int, p: Column, rows: tuple[Column, Column], cols: tuple[Column, Column]) -> Column:
+        """A pair and the centres it counts for, of this tile; a pair is (smaller, larger) level."""
+        ends = [F.greatest(rows[0], y0), F.least(rows[1], y0 + size - 1), F.greatest(cols[0].cast("long"), x0), F.least(cols[1].cast("long"), x0 + size - 1)]
+        return F.struct(F.lit(d).alias("d"), F.least("q", p).alias("i"), F.greatest("q", p).alias("j"), *[e.alias(n) for e, n in zip(ends, ("ya", "yb", "xa", "xb"), strict=True)])
+
+    pairs = [F.when(F.col(f"p{d}").isNotNull(), to(d, F.col(f"p{d}"), (row + max(0, dy) - r, row + min(0, dy) + r), (col + dx - r, col + r))) for d, (dy, dx) in enumerate(DIRECTIONS)]
+    mark = F.when(F.col("live"), to(-1, F.col("q"), (row, row), (col, col)))  # only live cells are centres
+    some = F.filter(F.array(*pairs, mark), lambda x: x.isNotNull() & (x["ya"] <= x["yb"]) & (x["xa"] <= x["xb"]))
+    at = cell.select("ty", "tx", F.explode(some).alias("x")).select("ty", "tx", "x.*").withColumn("row", F.explode(F.sequence("ya", "yb"))).withColumn("col", F.explode(F.sequence("xa", "xb")))
+    key = ["ty", "tx", "row", "col"]
+    count = at.groupBy(*key, "d", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    # Counts c are whole numbers and summed as such, apart by their total; only then is divided, so that no sum depends on its order.
+    totals = {"a": 2.0 * (window - 1) * (window - 1), "b": 2.0 * (window - 1) * window}
+    total = F.when(F.col("d").isin(1, 3), F.lit(totals["a"])).otherwise(F.lit(totals["b"]))
     gap = F.col("i") - F.col("j")
-    main = p.groupBy("row", "col").agg(F.sum(F.col("p") * F.col("p")).alias("asm"), F.sum(gap * gap * F.col("p")).alias("contrast"), F.sum(F.col("p") / (1 + gap * gap)).alias("idm"), (-F.sum(F.col("p") * F.log(F.col("p") + EPS))).alias("entropy"))
-    return main.join(plus, ["row", "col"])
+    # An unequal pair stands for both of its orders (m); an equal one counts twice.
+    c = count.select(*key, "d", "i", "j", F.when(gap == 0, 1).otherwise(2).alias("m"), (gap * gap).alias("gg"), (F.when(gap == 0, 2).otherwise(1) * F.col("n")).alias("c")).withColumn("p", F.col("c") / total)
+    mc = F.col("m") * F.col("c")
+    whole = {"asm": mc * F.col("c"), "contrast": F.col("gg") * mc}
+    parts = whole | {"idm": F.col("m") * F.col("p") / (1 + F.col("gg")), "entropy": -F.col("m") * F.col("p") * F.log(F.col("p") + EPS)}
+    plus = c.groupBy(*key, "d", (F.col("i") + F.col("j") + 2).alias("k")).agg(F.sum(mc).alias("s"), *[F.sum(e).alias(n) for n, e in parts.items()])
+    real, share = F.col("d") >= 0, F.col("s") / total
+    sums = {n: F.sum(F.when(real, e)) for n, e in {"idm": F.col("idm"), "entropy": F.col("entropy"), "sum_entropy": -share * F.log(share + EPS)}.items()}
+    for n in ("asm", "contrast", "sum_average"):
+        e = F.col("k") * F.col("s") if n == "sum_average" else F.col(n)
+        apart = [F.coalesce(F.sum(F.when(F.col("d").isin(ds), e)), F.lit(0)) / F.lit(totals[t] ** (2 if n == "asm" else 1)) for t, ds in (("a", [1, 3]), ("b", [0, 2]))]
+        sums[n] = apart[0] + apart[1]
+    out = plus.groupBy(*key).agg(*[e.alias(n) for n, e in sums.items()], F.min("d").alias("mark"))
+    return out.where("mark < 0 and idm is not null").select("row", F.col("col").cast("int").alias("col"), "asm", "contrast", "idm", "sum_average", "sum_entropy", "entropy")
