@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, fresh, id_text, mix, partitions, trim, tune, window_hash, word_bounds
+from .common import checkpoint, components, forget, fresh, id_text, mix, partitions, sweep, trim, tune, window_hash, word_bounds
 
 BLOCK = "bucket int, payload binary"
 SALTS = 32
@@ -423,17 +423,24 @@ def _settled(comp: DataFrame, met: DataFrame, texts: DataFrame, shape: Shape, wi
         once = whole.groupBy("size", "x", "y").agg(F.min(F.struct("g", "top")).alias("s")).select("s.g", "size", F.col("s.top.c").alias("top"), F.col("s.top.n").alias("n_top"))
         rest = checkpoint(member.join(once, "g"))
         if rest.isEmpty():
+            forget(rest)
             return comp
         if bits is None:  # later rounds need no other documents
             wide = rest.select(F.col("a").alias("_need")).distinct()
             bits = checkpoint(texts.join(wide, F.col("doc_id") == F.col("_need"), "left_semi").mapInPandas(_sketcher(shape), "_id long, n long, bits binary").distinct())
-        rest = checkpoint(rest.join(bits, F.col("a") == F.col("_id")).drop("_id"))
+        open_, rest = rest, checkpoint(rest.join(bits, F.col("a") == F.col("_id")).drop("_id"))
+        forget(open_)
+        sweep(texts.sparkSession)
         found = checkpoint(_in_blocks(rest, shape, width, n))
+        forget(rest)
         new, more = found.where("a is not null").distinct(), not found.where("a is null").isEmpty()
         new = checkpoint(new.join(tested, ["a", "b"], "left_anti") if tested is not None else new)
+        forget(found)
+        sweep(texts.sparkSession)
         tested = new if tested is None else tested.unionByName(new)
         links = verified(new, texts, shape)
         comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        sweep(texts.sparkSession)
         if not more:
             return comp
         width *= 8
@@ -455,7 +462,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     shape, n = Shape(words, percent), partitions(spark)
     base = id_text(docs, id_col, text_col)
     sent = checkpoint(base.mapInPandas(_sender(shape, spread * n), SENT))
-    counted = sent.where("bucket is null").select("doc_id", "n_shingles", "copy")
+    counted = checkpoint(sent.where("bucket is null").select("doc_id", "n_shingles", "copy"))
     known = counted.where("doc_id is not null and copy is not null").select("doc_id", "copy")
     # Copied texts only, each dealt over salts: a text that a third of all rows copy does not meet in one task.
     first = known.groupBy("copy").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("copy", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -470,12 +477,19 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     met = met.withColumn("_id", F.coalesce("b", "a")).join(low.withColumnRenamed("a", "_id"), "_id", "left")  # rows of groups have no b and would all meet
     met = met.select("a", F.when(F.col("b").isNotNull(), F.coalesce("low", "b")).alias("b"), "g")
     met = checkpoint(met.where("g is not null or a <> b").select(F.when(F.col("g").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("g").isNull(), F.greatest("a", "b")).alias("b"), "g").distinct())
+    forget(sent)  # keys are the most of what is stored, and all have met
+    sweep(spark)
     pairs = met.where("g is null").select("a", "b")
     # Only texts of documents that met others move again.
     need = met.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_need")
     texts = checkpoint(base.join(need, F.col("doc_id") == F.col("_need"), "left_semi"))
-    comp = components(checkpoint(verified(pairs, texts, shape).unionByName(copies)))
+    links = checkpoint(verified(pairs, texts, shape).unionByName(copies))
+    sweep(spark)
+    comp = components(links)
+    forget(links)
     comp = _settled(comp, met.where("g is not null").select("g", "a"), texts, shape)
+    forget(met, texts, copies)
+    sweep(spark)
     return counted.join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
