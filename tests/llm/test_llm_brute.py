@@ -316,6 +316,64 @@ def test_vectors_over_large_shards(spark):
     assert all(r["n_links"] <= s[r["vec_id"]].sum() - 1 for r in got) and min(r["recall"] for r in got) >= 0.99
 
 
+def test_vectors_ask_few_cells(spark, monkeypatch):
+    """A larger table: no vector asks every shard, and rounding, blocks and shared cells lose and repeat no link."""
+
+    def everywhere(*_):
+        raise AssertionError("every vector asks every shard")
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(7000, 32)).astype(np.float32)
+    x[:900] = x[1000] + rng.normal(size=(900, 32)) * 0.1  # one group, dealt in blocks
+    x[2000:2600] = x[3000:3600] + rng.normal(size=(600, 32)) * 0.25  # on either side of the threshold
+    x[6000:6020] = x[6100]
+    monkeypatch.setattr(hnsw, "_searcher", everywhere)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(spark.createDataFrame([(i - 50, v.tolist()) for i, v in enumerate(x)] + [(-99, None)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    links = s.sum(1) - 1
+    assert len(got) == 7001 and got[-99]["n_links"] == 0
+    assert 0 < sum(0 < links[i] for i in range(2000, 2600)) < 600
+    assert all(got[i - 50]["n_links"] <= links[i] for i in range(7000))
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * links.sum() and got[0]["recall"] >= 0.99
+    comp = graph_components(7000, [(i, j) for i, j in zip(*np.nonzero(s), strict=True) if i > j])
+    assert np.mean([got[i - 50]["component_id"] == comp[i] - 50 for i in range(7000) if links[i]]) >= 0.98
+    monkeypatch.undo()
+    monkeypatch.setattr(hnsw, "_cells", lambda *_: (None, 0.0))  # cells that do not find the links: the shards are asked
+    part = hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[800:2300])], "vec_id long, embedding array<float>"), shards=1).collect()
+    assert sum(r["n_links"] for r in part) >= 0.99 * (s[800:2300, 800:2300].sum() - 1500)
+
+
+def test_cells_needed():
+    a = np.array([[1, 2, 3], [1, 2, 3], [1, -1, -1], [4, 5, 6]], np.int32)
+    b = np.array([[1, 9, 8], [9, 8, 2], [7, -1, -1], [6, 5, 4]], np.int32)
+    assert hnsw.needed(a, b).tolist() == [1, 3, 4, 2]
+    count = np.zeros((3, 5), int)
+    count[0, 1], count[1, 3] = 9, 1
+    assert hnsw.share(count).tolist() == [0.0, 0.5, 0.5, 1.0, 1.0]
+
+
+def test_rounded_vectors_lose_no_candidate():
+    """Vectors of one large and many small values round worst; pairs at the threshold stay candidates."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 64)) * 0.03
+    x[:, 0] = 1
+    x[100:] = x[:100]
+    x[100:, 1] += 0.32
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    least = float(np.sort((u[:100] * u[100:]).sum(1))[50])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), hnsw._binaries(x), pa.array([[0]] * 200, pa.list_(pa.int32()))], ["rep", "key", "ask"])
+    dealt = pa.Table.from_batches(hnsw._deal(64, "<f8", np.array([3]), True)(iter([batch]))).sort_by("bucket")
+    assert dealt.num_rows == 600
+    may = {r for b in hnsw._candidates(64, least)(iter(dealt.to_batches())) for r in b.column("rep").to_pylist()}
+    s = u @ u.T
+    np.fill_diagonal(s, 0)
+    assert may >= set(np.flatnonzero((s >= least).any(1)).tolist())
+
+
 def test_link_graph(spark):
     html = lambda *urls: "".join(f'<a class="x" href="{u}">t</a>' for u in urls)
     rows = [
